@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, line_rules, mixing, quotes, toxicity, url_rules
+from . import fm_index, line_rules, mixing, quotes, repeats, toxicity, url_rules
 from .common import table
 
 
@@ -47,6 +47,11 @@ def page_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), F.coalesce(unwanted, F.lit(False)).alias("unwanted"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), page_labels(table(spark, sf_dir, "labels")))
 
@@ -58,7 +63,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op9_url_rules, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op8_suffix_dedup, op9_url_rules, op10_line_rules)}
 
 _OP2 = r"""
 WITH w AS (

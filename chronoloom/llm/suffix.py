@@ -14,7 +14,12 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int64)
-    symbols = text.astype(np.int64) - int(text.min()) + 1
+    symbols = text.astype(np.int64) - int(text.min())
+    if int(symbols.max()) < 1 << 24:  # dense symbols, so that more of them fit the first key
+        present = np.bincount(symbols) > 0
+        symbols = np.cumsum(present)[symbols]
+    else:
+        symbols = symbols + 1
     bits = int(symbols.max()).bit_length()
     key, h = symbols, 1
     while 2 * bits * h <= 62:  # several symbols in one first key
