@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, line_rules, mixing, quotes, repeats, toxicity, url_rules
+from . import fm_index, line_rules, mixing, partenum, quotes, repeats, toxicity, url_rules
 from .common import table
 
 
@@ -47,6 +47,11 @@ def page_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), F.coalesce(unwanted, F.lit(False)).alias("unwanted"))
 
 
+def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = partenum.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -63,7 +68,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op8_suffix_dedup, op9_url_rules, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op7_partenum_join, op8_suffix_dedup, op9_url_rules, op10_line_rules)}
 
 _OP2 = r"""
 WITH w AS (
@@ -136,4 +141,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM base LEFT JOIN gone USING (r)
 """
 
-ORACLES = {"op2_fm_decontamination": _OP2, "op4_poisson_mix": _OP4, "op10_line_rules": _OP10}
+_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, doc_id, array_to_string(ws[k : k + 4], ' ') AS gram
+  FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.r < b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT r AS a, r AS b FROM w
+  UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (r) JOIN (SELECT a, min(o.doc_id) AS component_id FROM reach JOIN w o ON o.r = reach.b GROUP BY a) c ON c.a = w.r
+"""
+
+ORACLES = {"op7_partenum_join": _OP7, "op2_fm_decontamination": _OP2, "op4_poisson_mix": _OP4, "op10_line_rules": _OP10}
