@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, line_rules, mixing, partenum, quotes, repeats, toxicity, url_rules
-from .common import table
+from . import fm_index, line_rules, mixing, partenum, pseudo_likelihood, quotes, repeats, token_files, toxicity, url_rules
+from .common import materialize, table
 
 
 def op1_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,15 @@ def page_labels(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), F.coalesce(unwanted, F.lit(False)).alias("unwanted"))
 
 
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = materialize(token_files.tokenise(table(spark, sf_dir, "documents")), "tokens")
+    return token_files.count_tokens(blocks).select(F.col("name").cast("long").alias("doc_id"), "shard", "ordinal", "n_tokens")
+
+
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = partenum.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_shingles", "component_id")
@@ -68,7 +77,7 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op7_partenum_join, op8_suffix_dedup, op9_url_rules, op10_line_rules)}
+QUERIES = {f.__name__: f for f in (op1_quote_threads, op2_fm_decontamination, op3_kneser_ney_toxicity, op4_poisson_mix, op5_pseudo_likelihood, op6_token_counts, op7_partenum_join, op8_suffix_dedup, op9_url_rules, op10_line_rules)}
 
 _OP2 = r"""
 WITH w AS (
