@@ -12,8 +12,8 @@ The discount D is `rare`: an expression found so often or less in a class is lef
 both classes agree, so that chance finds of rare words are no evidence. A text's evidence is the difference of its log-likelihoods, normalised by
 length; a logistic curve fitted on labelled rows that took no part in the counts maps it to a score.
 
-Only the fit reads a bounded sample: `per_class` rows of each class for the counts, `calibration` for the curve, and at most
-`most_bigrams` bigrams. Every whole text is scored.
+Only the fit reads a bounded sample: `per_class` rows of each class for the counts and `calibration` for the curve. Every whole
+text is scored.
 
 Defined results: null and empty texts have no evidence and get the score of evidence 0 at length 0. Labels that are null, or on
 rows kept from learning, are not read. If a class has no row to learn from, every score is 0. Repeated rows are scored alike. An
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices, text_buffer
+from .common import materialize, row_slices, text_buffer
 from .words import ALNUM_SEPARATORS, as_signed, mix, words
 
 _SLICE = 1 << 20
@@ -128,36 +128,50 @@ def _trigrams(batches):
             yield pa.RecordBatch.from_pydict({"u": as_signed(u[at]), "v": as_signed(v[at]), "w": as_signed(h[at]), "toxic": side[at].astype(np.int32)})
 
 
-def _estimate(v: np.ndarray, w: np.ndarray, n: np.ndarray, rare: float) -> KneserNey:
-    """The model from bigrams (v, w) with n[:, class]."""
-    vocabulary, at = np.unique(np.concatenate((v, w)), return_inverse=True)
-    iv, iw, size = at[: len(v)], at[len(v) :], len(vocabulary)
-    both = np.bincount(iw, minlength=size).astype(float)  # distinct histories in either class
-    shared = (both + 1.0) / (both.sum() + size + 1.0)
-    shared_unseen = 1.0 / (both.sum() + size + 1.0)
-    log_low, log_hist, seen, unseen = [], [], [], []
+def _estimate(bigrams: DataFrame, rare: float) -> KneserNey | None:
+    """The model from bigrams (v, w, n0, n1), n by class.
+
+    Words and bigrams found `rare` times or less in both classes behave just as unseen ones do, so the driver gets only the rest."""
+    word = bigrams.groupBy("w").agg(
+        F.count_if(F.col("n0") > 0).alias("f0"), F.count_if(F.col("n1") > 0).alias("f1"), F.count("*").alias("both"), F.max(F.greatest("n0", "n1")).alias("most")
+    )
+    history = bigrams.groupBy("v").agg(
+        *(F.sum(f"n{c}").alias(f"m{c}") for c in (0, 1)), *(F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(rare))).alias(f"l{c}") for c in (0, 1))
+    )
+    part = lambda c: F.coalesce(F.sum(F.least(F.col(f"f{c}").cast("double"), F.lit(rare))), F.lit(0.0)).alias(f"r{c}")
+    total = word.agg(F.sum("f0").alias("f0"), F.sum("f1").alias("f1"), F.sum("both").alias("both"), F.count("*").alias("size"), part(0), part(1)).first()
+    if not total["f0"] or not total["f1"]:
+        return None
+    own = word.where((F.col("f0") > rare) | (F.col("f1") > rare) | (F.col("most") > rare)).toPandas()
+    past = history.where((F.col("m0") > rare) | (F.col("m1") > rare)).toPandas()
+    pairs = bigrams.where((F.col("n0") > rare) | (F.col("n1") > rare)).toPandas()
+    unsigned = lambda x: x.to_numpy(np.int64).view(np.uint64)
+    vocabulary = np.unique(np.concatenate((unsigned(own["w"]), unsigned(past["v"]))))
+    if not len(vocabulary):
+        vocabulary = np.zeros(1, np.uint64)
+    iw, iv = np.searchsorted(vocabulary, unsigned(own["w"])), np.searchsorted(vocabulary, unsigned(past["v"]))
+    pv, pw = np.searchsorted(vocabulary, unsigned(pairs["v"])), np.searchsorted(vocabulary, unsigned(pairs["w"]))
+    gamma = [total[f"r{c}"] / total[f"f{c}"] for c in (0, 1)]
+    unseen = float(np.log(gamma[1]) - np.log(gamma[0]))
+    shared = (own["both"].to_numpy(float) + 1.0) / (total["both"] + total["size"] + 1.0)
+    lower, hist, seen = [], [], []
     for c in (0, 1):
-        has = n[:, c] > 0
-        follow = np.bincount(iw[has], minlength=size).astype(float)
-        gamma = np.minimum(follow, rare).sum() / follow.sum()
-        low = np.maximum(follow - rare, 0) / follow.sum() + gamma * shared
-        mass = np.bincount(iv, n[:, c], size)
-        left = np.bincount(iv, np.minimum(n[:, c], rare), size)
-        lam = np.where(mass > 0, left / np.maximum(mass, 1), 1.0)
-        prob = np.maximum(n[:, c] - rare, 0) / np.maximum(mass[iv], 1) + lam[iv] * low[iw]
-        log_low.append(np.log(low))
-        log_hist.append(np.log(lam))
-        seen.append(np.log(prob))
-        unseen.append(np.log(gamma * shared_unseen))
-    key = _key(v, w)
+        low = np.full(len(vocabulary), np.nan)
+        low[iw] = np.maximum(own[f"f{c}"].to_numpy(float) - rare, 0) / total[f"f{c}"] + gamma[c] * shared
+        mass, lam = np.ones(len(vocabulary)), np.ones(len(vocabulary))
+        m = past[f"m{c}"].to_numpy(float)
+        mass[iv] = np.maximum(m, 1)
+        lam[iv] = np.where(m > 0, past[f"l{c}"].to_numpy(float) / np.maximum(m, 1), 1.0)
+        seen.append(np.log(np.maximum(pairs[f"n{c}"].to_numpy(float) - rare, 0) / mass[pv] + lam[pv] * low[pw]))
+        lower.append(np.log(low))
+        hist.append(np.log(lam))
+    key = _key(vocabulary[pv], vocabulary[pw])
     order = np.argsort(key)
+    bigram_keys = key[order] if len(key) else np.zeros(1, np.uint64)
+    ratios = (seen[1] - seen[0])[order] if len(key) else np.zeros(1)
+    low = lower[1] - lower[0]
     return KneserNey(
-        key[order],
-        (seen[1] - seen[0])[order].astype(np.float32),
-        vocabulary,
-        (log_hist[1] - log_hist[0]).astype(np.float32),
-        (log_low[1] - log_low[0]).astype(np.float32),
-        float(unseen[1] - unseen[0]),
+        bigram_keys, ratios.astype(np.float32), vocabulary, (hist[1] - hist[0]).astype(np.float32), np.where(np.isnan(low), unseen, low).astype(np.float32), unseen
     )
 
 
@@ -184,25 +198,19 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], per_clas
     return docs.select("doc_id", "text").join(F.broadcast(first[0].unionAll(first[1])), "doc_id").select("text", "toxic")
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, per_class: int = 6000, calibration: int = 3000, most_bigrams: int = 3_000_000, rare: float = 4.0
-) -> KneserNey | None:
-    counted = (
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, calibration: int = 3000, rare: float = 4.0) -> KneserNey | None:
+    bigrams = materialize(
         _sample(docs, labels, (1, 2, 3), per_class)
         .mapInArrow(_trigrams, "u long, v long, w long, toxic int")
         .groupBy("u", "v", "w", "toxic")
         .count()
         .groupBy("v", "w")
-        .agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1"))
-        .orderBy(F.desc(F.col("n0") + F.col("n1")), "v", "w")
-        .limit(most_bigrams)
-        .toArrow()
+        .agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1")),
+        "bigrams",
     )
-    v, w = (counted.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
-    n = np.stack([counted.column(c).to_numpy() for c in ("n0", "n1")], axis=1).astype(float) if len(v) else np.zeros((0, 2))
-    if not (n.sum(axis=0) > 0).all():
+    model = _estimate(bigrams, rare)
+    if model is None:
         return None
-    model = _estimate(v, w, n, rare)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
