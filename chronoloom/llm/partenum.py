@@ -15,9 +15,10 @@ are frequent in a sample were left out, which takes nothing from the bound), the
 One of the steps always holds, so no similar pair is missed, whatever the sample. Sets of up to 24 shingles, and what may be
 similar to them, are signed by their smallest shingles.
 
-Sets that share a signature are linked to the smallest of them and each such link is checked on the whole sets. What fails is checked
-against the other sets which met the same one, in blocks, unless they are in one component already. Equal sets are one from
-the start; pairs within a group are never listed.
+Sets that share a signature are linked to the smallest of them. A link is ruled out by sketches (parity bits, of which two
+similar sets can differ in few) or else checked on the whole sets. What fails is held against the other sets which met the same one,
+in blocks and by sketches first, unless they are in one component already. Equal sets are one from the start; pairs within a
+group are never listed.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a text with fewer words than the width has one
 shingle of all of them. Repeated rows and repeated doc_ids are rows of their own; component_id is the smallest doc_id of the
@@ -27,6 +28,7 @@ component (null only if all are null). An empty table gives an empty result. Col
 from __future__ import annotations
 
 import gc
+import time
 from collections import OrderedDict
 from itertools import combinations
 
@@ -115,7 +117,7 @@ def _by_elements(s, row, sizes, level):
 
 def _by_parts(s, row, n, level, band, start, k):
     """Signatures of large bands, their rows, and which rows hold the guarantee."""
-    n_parts = 2 * np.ceil(0.375 * start).astype(np.int64)
+    n_parts = 2 * np.ceil(0.25 * start + 0.3 * np.sqrt(start)).astype(np.int64)
     prow, part, total = _parts(s, row, n_parts)
     filled = np.bincount(prow, minlength=n)
     keep = _first_of_each(prow, k + 1)
@@ -185,25 +187,65 @@ def signatures(s: np.ndarray, row: np.ndarray, sizes: np.ndarray, frequent: np.n
     return np.concatenate(out_s), np.concatenate(out_r)
 
 
+def sketches(s: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity bits of each row's set: as many bits as shingles or more, each flipped once for every shingle that falls on it.
+
+    Two sets differ in at least as many elements as their sketches do in bits, so a sketch can rule a pair out and never in error."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    start = np.concatenate(([0], np.cumsum(bits)))
+    at = start[row] + (s & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist(), strict=True)]
+
+
+def folded(sketch: int, bits: int, to: int) -> int:
+    """A sketch as one of fewer bits."""
+    while bits > to:
+        bits //= 2
+        sketch = (sketch >> bits) ^ (sketch & ((1 << bits) - 1))
+    return sketch
+
+
+def may_differ(a, b):
+    """Elements in which similar sets of these sizes may differ: a seventh of all."""
+    return (a + b) // 7
+
+
+def possible(n: int, sketch: bytes, other_n: int, other: bytes) -> bool:
+    """Whether sizes and sketches leave it open that two sets are similar."""
+    if 4 * min(n, other_n) < 3 * max(n, other_n):
+        return False
+    bits = 8 * min(len(sketch), len(other))
+    one, two = (folded(int.from_bytes(x, "little"), 8 * len(x), bits) for x in (sketch, other))
+    return (one ^ two).bit_count() <= may_differ(n, other_n)
+
+
 def _describe(width: int):
-    """For mapInArrow: n_shingles and set id of each row (null for the empty set)."""
+    """For mapInArrow: n_shingles, set id (null for the empty set) and sketch of each row."""
 
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
-            n, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            n, ids, made = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), []
             for a, b in row_slices(offsets, _SLICE):
                 s, row = row_shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 n[a:b], ids[a:b] = set_ids(s, row, b - a)
+                made += sketches(s, row, n[a:b])
             keep = [i for i, c in enumerate(batch.schema.names) if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(n), pa.array(as_signed(ids), mask=ids == 0)], names=[*(batch.schema.names[i] for i in keep), "n_shingles", "set_id"]
+                [*(batch.column(i) for i in keep), pa.array(n), pa.array(as_signed(ids), mask=ids == 0), pa.array(made, pa.binary())],
+                names=[*(batch.schema.names[i] for i in keep), "n_shingles", "set_id", "sketch"],
             )
 
     return run
 
 
-def _sign(frequent, width: int):
+def signature_bits(n_docs: int) -> int:
+    """Bits of a signature that keep chance meetings, which cost a check each, far below the documents in number."""
+    return min(63, max(32, n_docs.bit_length() + 22))
+
+
+def _sign(frequent, width: int, bits: int):
     """For mapInArrow: (sig, set_id) of each distinct set that the task meets."""
 
     def run(batches):
@@ -222,6 +264,7 @@ def _sign(frequent, width: int):
                     seen.popitem(last=False)
                 pick = fresh[row]
                 sig, r = signatures(s[pick], row[pick], np.where(fresh, sizes, 0), common)
+                sig = sig >> np.uint64(64 - bits)
                 for i in range(0, len(sig), 1 << 17):
                     yield pa.RecordBatch.from_pydict({"sig": as_signed(sig[i : i + (1 << 17)]), "set_id": as_signed(ids[r[i : i + (1 << 17)]])})
 
@@ -287,40 +330,73 @@ def _check_links(width: int):
     return run
 
 
-def _check_blocks(width: int):
-    """For mapInArrow over sets of block pairs: verified links between failed sets (role 0) and others (role 1) of other labels."""
-
-    def links(failed, others):
-        a, b = [], []
-        for x, lx, sx in failed:
-            for y, ly, sy in others:
-                if lx != ly and x != y and similar(sx, sy):
-                    a.append(x)
-                    b.append(y)
-        return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    def run(batches):
-        now, failed, others = None, [], []
-        for batch in batches:
-            for rep, i, j, role, x, label, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "text")), strict=True):
-                if (rep, i, j) != now:
-                    if failed and others:
-                        yield links(failed, others)
-                    now, failed, others = (rep, i, j), [], []
-                (failed if role == 0 else others).append((x, label, _single(text.encode(), width)))
-        if failed and others:
-            yield links(failed, others)
-
-    return run
+def _sketch_links(batches):
+    """For mapInArrow over links with sizes and sketches of both sets: adds whether the pair may be similar."""
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("nx", "sx", "nr", "sr")]
+        open_ = [possible(*r) for r in zip(*cols, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("rep"), pa.array(open_, pa.bool_())], names=["x", "rep", "open"])
+
+
+def _matrix(rows: list[tuple]) -> np.ndarray:
+    return np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+
+
+def _half(m: np.ndarray) -> np.ndarray:
+    """Sketches of half as many bits."""
+    if m.shape[1] > 1:
+        return m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return (m >> np.uint64(32)) ^ (m & np.uint64(0xFFFFFFFF))
+
+
+def open_pairs(failed: list[tuple], others: list[tuple]):
+    """Pairs (id, id) of two lists of (id, label, n, sketch) with other labels that sizes and sketches leave open."""
+    by_size: dict[int, list[tuple]] = {}
+    for r in others:
+        by_size.setdefault(len(r[3]), []).append(r)
+    ready = {k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), np.array([r[2] for r in v]), _matrix(v)) for k, v in by_size.items()}
+    for x, label, n, sketch in failed:
+        mine = _matrix([(0, 0, 0, sketch)])
+        for size in (len(sketch) // 2, len(sketch), 2 * len(sketch)):
+            if size in ready:
+                ids, labels, sizes, m = ready[size]
+                fits = np.flatnonzero((labels != label) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
+                if len(fits):
+                    a, b = mine, m[fits]
+                    if size < len(sketch):
+                        a = _half(a)
+                    elif size > len(sketch):
+                        b = _half(b)
+                    far = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+                    for y in ids[fits[far <= may_differ(sizes[fits], n)]].tolist():
+                        yield x, y
+
+
+def _check_blocks(batches):
+    """For mapInArrow over sketches of block pairs: pairs of failed sets (role 0) and others (role 1) that stay open."""
+
+    def found(failed, others):
+        pairs = list(open_pairs(failed, others))
+        return pa.RecordBatch.from_pydict({"x": pa.array([p[0] for p in pairs], pa.int64()), "rep": pa.array([p[1] for p in pairs], pa.int64())})
+
+    now, failed, others = None, [], []
+    for batch in batches:
+        for rep, i, j, role, *row in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "n", "sketch")), strict=True):
+            if (rep, i, j) != now:
+                if failed and others:
+                    yield found(failed, others)
+                now, failed, others = (rep, i, j), [], []
+            (failed if role == 0 else others).append(tuple(row))
+    if failed and others:
+        yield found(failed, others)
 
 
 def _key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce("text", F.lit("")))
 
 
-def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
     """Shingles in 1 of 400 or more of a sample of distinct texts; only the order of work depends on them."""
-    n = docs.count()
     stride = max(1, n // SAMPLE_TEXTS)
     sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(stride)) == 0).dropDuplicates(["text"])
 
@@ -363,33 +439,41 @@ def _verify(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _check_rest(links: DataFrame, failed: DataFrame, texts: DataFrame, labels: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) between sets that failed against a rep and the other sets that met it."""
+def _open_rest(links: DataFrame, failed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (x, rep) still open between sets that failed against a rep and all other sets that met it, in blocks of both."""
     n = partitions(links.sparkSession)
     reps = failed.groupBy("rep").agg(F.count("*").alias("n_failed"))
-    met = links.join(reps, "rep").select("rep", "x", "n_failed")
-    met = _relabel(met, labels, "x", "label")
-    sized = met.withColumn("n_met", F.count("*").over(W.partitionBy("rep")))
+    met = links.select("rep", "x").join(reps, "rep").withColumn("n_met", F.count("*").over(W.partitionBy("rep")))
+    met = _relabel(met, labels, "x", "label").join(sets.withColumnRenamed("set_id", "x"), "x")
     i_blocks, j_blocks = F.ceil(F.col("n_failed") / _BLOCK).cast("int"), F.ceil(F.col("n_met") / _BLOCK).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    one = sized.join(failed.select("rep", "x"), ["rep", "x"]).select(
-        "rep", F.pmod(F.xxhash64("x"), i_blocks).cast("int").alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), F.col("x").alias("id"), "label"
-    )
-    other = sized.select("rep", spread(i_blocks).alias("i"), F.pmod(F.xxhash64("x"), j_blocks).cast("int").alias("j"), F.lit(1).alias("role"), F.col("x").alias("id"), "label")
-    return (
-        one.unionAll(other)
-        .join(texts.withColumnRenamed("set_id", "id"), "id")
-        .repartition(n, "rep", "i", "j")
-        .sortWithinPartitions("rep", "i", "j")
-        .select("rep", "i", "j", "role", "id", "label", "text")
-        .mapInArrow(_check_blocks(width), "a long, b long")
-    )
+    block = lambda k: F.pmod(F.xxhash64("x"), k).cast("int")
+    what = [F.col("x").alias("id"), "label", "n", "sketch"]
+    one = met.join(failed, ["rep", "x"], "left_semi").select("rep", block(i_blocks).alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), *what)
+    other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what)
+    return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_check_blocks, "x long, rep long")
+
+
+def _texts(keyed: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """set_id and text of one row for each set in pairs (x, rep)."""
+    wanted = pairs.select(F.explode(F.array("x", "rep")).alias("set_id")).distinct()
+    # Of equal sets one row stands for all; rows repeated in doc_id and text are told apart by nothing.
+    one = rows.select("set_id", "key").join(wanted, "set_id").groupBy("key").agg(F.first("set_id").alias("set_id"), F.count("*").alias("copies"))
+    one = materialize(one.groupBy("set_id").agg(F.min_by(F.struct("key", "copies"), F.struct("copies", "key")).alias("r")).select("set_id", "r.*"), "one_row")
+    texts = keyed.select("key", "text").join(one, "key").select("set_id", "text")
+    if not one.where("copies > 1").isEmpty():
+        texts = texts.dropDuplicates(["set_id"])
+    out = materialize(texts, "texts")
+    _release(keyed.sparkSession)
+    return out
 
 
 def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of what has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of what has been written: its cleaner follows the driver's garbage collection."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -397,11 +481,12 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     n = partitions(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
-    rows = materialize(keyed.mapInArrow(_describe(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long"), "rows")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
+    rows = materialize(keyed.mapInArrow(_describe(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long, sketch binary"), "rows")
+    n_docs = rows.count()
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n_docs, width))
     links = materialize(
         docs.select("text")
-        .mapInArrow(_sign(frequent, width), "sig long, set_id long")
+        .mapInArrow(_sign(frequent, width, signature_bits(n_docs)), "sig long, set_id long")
         .repartition(n, "sig")
         .sortWithinPartitions("sig")
         .mapInArrow(_stars, "x long, rep long, n long")
@@ -410,28 +495,38 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         "links",
     )
     _release(spark)
-    wanted = links.select(F.explode(F.array("x", "rep")).alias("set_id")).distinct()
-    one_row = rows.join(wanted, "set_id").groupBy("key").agg(F.first("set_id").alias("set_id"))
-    one_row = one_row.groupBy("set_id").agg(F.min("key").alias("key"))
-    texts = materialize(keyed.select("key", "text").join(one_row, "key").select("set_id", "text").dropDuplicates(["set_id"]), "texts")
-    _release(spark)
-    first = W.partitionBy("x").orderBy(F.desc("n"), "rep")
-    top = links.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("x", "rep")
-    checked = materialize(_verify(top, texts, width), "checked")
-    good = checked.where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    labels = components(good)
+    sets = materialize(rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    side = lambda id_, n, sketch: sets.select(F.col("set_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    tested = links.join(side("x", "nx", "sx"), "x").join(side("rep", "nr", "sr"), "rep").mapInArrow(_sketch_links, "x long, rep long, open boolean")
+    tested = materialize(tested, "tested")
+    open_links = tested.where("open").select("x", "rep")
+    good = None
+    labels = spark.createDataFrame([], "node long, label long")
     apart = lambda f: _relabel(_relabel(f, labels, "x", "lx"), labels, "rep", "lr").where("lx != lr").select("x", "rep")
-    rest = apart(links.select("x", "rep").join(top, ["x", "rep"], "left_anti"))
-    again = materialize(_verify(rest, texts, width), "checked")
-    if not again.where("ok").isEmpty():
-        good = good.unionAll(again.where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b")))
-        labels = components(good)
-    failed = materialize(apart(checked.where(~F.col("ok")).unionAll(again.where(~F.col("ok"))).select("x", "rep")), "failed")
-    if not failed.isEmpty():
-        more = materialize(_check_rest(links.select("x", "rep"), failed, texts, labels, width), "more")
+    checked = []
+    if not open_links.isEmpty():
+        texts = _texts(keyed, rows, open_links)
+        first = W.partitionBy("x").orderBy(F.desc("n"), "rep")
+        top = links.join(open_links, ["x", "rep"], "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select("x", "rep")
+        # First the link that most signatures speak for; of the others, those that then still join two components.
+        for step in (lambda: top, lambda: apart(open_links.join(top, ["x", "rep"], "left_anti"))):
+            checked.append(materialize(_verify(step(), texts, width), "checked"))
+            more = checked[-1].where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
+            if not more.isEmpty():
+                good = more if good is None else good.unionAll(more)
+                labels = components(good)
+    bad = tested.where(~F.col("open")).select("x", "rep")
+    for c in checked:
+        bad = bad.unionAll(c.where(~F.col("ok")).select("x", "rep"))
+    failed = materialize(apart(bad), "failed")
+    rest = materialize(_open_rest(links, failed, sets, labels).distinct(), "rest")
+    rest = apart(rest)
+    if not rest.isEmpty():
+        _release(spark)
+        more = materialize(_verify(rest, _texts(keyed, rows, rest), width), "checked").where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
         if not more.isEmpty():
-            labels = components(good.unionAll(more))
-    return rows, labels
+            labels = components(more if good is None else good.unionAll(more))
+    return rows.drop("sketch"), labels
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH) -> DataFrame:
