@@ -62,7 +62,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             "turn",
             "role",
             "text",
-            F.trim(own).alias("own"),
+            F.regexp_replace(own, r"^\s+|\s+$", "").alias("own"),
             F.array_max(F.transform("_lines", lambda x: x["level"])).alias("depth"),
             F.transform(
                 quoted,
