@@ -31,16 +31,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def bounded(events, begin: str | None, end: str | None, zone: str):
-    """Events between two timestamps as text; times without a date are of the day of the first event."""
-    for text, bound in ((begin, ops.seek), (end, lambda df, ns: ops.time_range(df, end=ns))):
+def bounds(spark: SparkSession, paths: list[str], begin: str | None, end: str | None, zone: str) -> dict[str, int]:
+    """Options of read_trace for two timestamps as text; times without a date are of the day of the first event."""
+    out, day = {}, None
+    for name, text in (("begin_ns", begin), ("end_ns", end)):
         if text is not None:
             ns, dated = X.parse_timestamp(text, zone)
             if not dated:
-                day = ops.first_day(events).first()["day"]
-                ns += day or 0
-            events = bound(events, ns)
-    return events
+                if day is None:
+                    day = ops.first_day(read_trace(spark, *paths, mode="DROPTAIL")).first()["day"] or 0
+                ns += day
+            out[name] = ns
+    return out
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None, out=sys.stdout, err=sys.stderr) -> int:
@@ -50,7 +52,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     spark.conf.set("spark.sql.session.timeZone", zone)
     names = {label: p for p, label in X.PROPERTY_LABELS.items()}
     chosen = [names[x] for x in a.properties.split(",") if x in names]
-    events = bounded(read_trace(spark, *a.paths, mode="PERMISSIVE"), a.begin, a.end, zone)
+    events = read_trace(spark, *a.paths, mode="PERMISSIVE", **bounds(spark, a.paths, a.begin, a.end, zone))
     failed = events.where(F.col("_error").isNotNull()).select("_error").take(1)
     valid = events.where(F.col("_error").isNull())
     order = W.orderBy(*ops.ORDER)

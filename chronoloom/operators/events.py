@@ -25,7 +25,7 @@ def mux(*streams: DataFrame, order: list[str] | None = None, sort: bool = True)
 
 
 def seek(events: DataFrame, ns: int | Column) -> DataFrame:
-    """Events from a time on. As a filter on ts_ns it reaches the source, which leaves out packets that end before."""
+    """Events from a time on. Given to read_trace as begin_ns the same time also leaves out packets that end before."""
     return events.where(F.col("ts_ns") >= ns)
 
 

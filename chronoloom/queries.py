@@ -131,7 +131,7 @@ def ctf_roundtrip_lineitem(spark, sf_dir):
 @query("time_range_counts", _TR + f"SELECT event_name, count(*) AS n_events FROM tr WHERE ts_ns BETWEEN {BEGIN} AND {END} GROUP BY event_name")
 def time_range_counts(spark, sf_dir):
     """The slice end to end: a trace is written, read with pruned packets, cut to a range and counted by name."""
-    return ops.count_by_name(ops.time_range(read_trace(spark, event_trace(spark, sf_dir)), BEGIN, END))
+    return ops.count_by_name(read_trace(spark, event_trace(spark, sf_dir), begin_ns=BEGIN, end_ns=END))
 
 
 @query("multi_dir_union", _TR + "SELECT event_id, ts_ns, CAST(stream % 2 AS INTEGER) AS trace_idx FROM tr")

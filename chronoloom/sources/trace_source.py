@@ -2,7 +2,7 @@
 
 Options: path (a directory, or several as a JSON list or one per line), view (events or packets), eventClass (name or id of one event class),
 properties (comma-separated; none are all), metadataFile, batchSize (rows of an Arrow batch), packetBytes (bytes of packets per partition),
-mode (FAILFAST raises; PERMISSIVE adds a row with _error after the valid events; DROPTAIL leaves the rest of the stream out).
+beginNs and endNs (packets wholly outside of this time are left out), mode (FAILFAST raises; PERMISSIVE adds a row with _error after the valid events; DROPTAIL leaves the rest of the stream out).
 
 Files are read where executors see them as paths. `decode_files` decodes what Spark's binaryFile reads instead.
 """
@@ -15,23 +15,14 @@ import os
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    DataSourceStreamReader,
-    EqualTo,
-    Filter,
-    GreaterThan,
-    GreaterThanOrEqual,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import TraceError
 from ..plans.schema import ERROR_COLUMN, EVENT_COLUMNS, PACKET_COLUMNS, Layout, arrow_type
@@ -146,6 +137,7 @@ class Settings:
         chosen = tuple(p.strip().replace("-", "_") for p in (get("properties") or "").split(",") if p.strip())
         self.catalogs = [load_catalog(p, self.metadata_name) for p in self.paths]
         self.layout = Layout(self.catalogs, get("eventClass"), chosen or PROPERTIES)
+        self.low, self.high = int(get("beginNs", LOWEST)), int(get("endNs", HIGHEST))
         self.files = {f for f in (get("file") or "").split(",") if f}
         if self.mode not in ("FAILFAST", "PERMISSIVE", "DROPTAIL"):
             raise ValueError(f"no mode is called {self.mode}")
@@ -162,19 +154,17 @@ class Settings:
                     yield t, directory, name
 
 
-def decode_slice(s: Settings, schema: T.StructType, at: Slice, data, low: int = LOWEST, high: int = HIGHEST) -> Iterator[pa.RecordBatch]:
-    """The rows of a slice. Packets whose times say that nothing of them lies in [low, high] are not decoded."""
+def decode_slice(s: Settings, schema: T.StructType, at: Slice, data) -> Iterator[pa.RecordBatch]:
+    """The rows of a slice. Packets whose times say that nothing of them lies in the range asked for are not decoded."""
     rows = Rows(s.layout, schema, s.batch)
     decoder = StreamDecoder(s.catalogs[at.trace], data)
     base: dict = {"trace_idx": at.trace, "trace_path": at.directory, "stream_file": at.file, "packet_idx": at.index}
     try:
-        for k, packet in enumerate(decoder.packets(at.start, at.index)):
-            if at.count is not None and k >= at.count:
-                break
+        for packet in islice(decoder.packets(at.start, at.index), at.count):
             base = packet_values(at.trace, at.directory, at.file, packet)
             if s.view == "packets":
                 rows.add(base, None)
-            elif not outside(base, low, high):
+            elif not outside(base, s.low, s.high):
                 for event in decoder.events(packet):
                     if s.layout.wanted(event.cls):
                         rows.add(base, event)
@@ -202,17 +192,6 @@ def outside(packet: dict, low: int, high: int) -> bool:
 class TraceReader(DataSourceReader):
     def __init__(self, settings: Settings, schema: T.StructType):
         self.settings, self.schema = settings, schema
-        self.low, self.high = LOWEST, HIGHEST
-
-    def pushFilters(self, filters: list[Filter]):
-        """Bounds on ts_ns are kept for packets; Spark applies every filter again to rows."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("ts_ns",) and self.settings.view == "events":
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    self.low = max(self.low, f.value)
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    self.high = min(self.high, f.value)
-            yield f
 
     def partitions(self):
         """Groups of packets by a walk over headers and contexts. A stream with an error ends in a slice that runs into it."""
@@ -224,7 +203,7 @@ class TraceReader(DataSourceReader):
             size = 0
             try:
                 for p in decoder.packets():
-                    skip = self.settings.view == "events" and outside(packet_values(t, directory, name, p), self.low, self.high)
+                    skip = self.settings.view == "events" and outside(packet_values(t, directory, name, p), self.settings.low, self.settings.high)
                     if skip:
                         group = None
                         continue
@@ -245,7 +224,7 @@ class TraceReader(DataSourceReader):
     def read(self, partition):
         if isinstance(partition, Slice):
             data = mapped(os.path.join(local(partition.directory), partition.file))
-            yield from decode_slice(self.settings, self.schema, partition, data, self.low, self.high)
+            yield from decode_slice(self.settings, self.schema, partition, data)
 
 
 class TraceStreamReader(DataSourceStreamReader):
@@ -316,16 +295,26 @@ class TraceDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes format("trace") known to a session, with filters pushed to the source."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Makes format("trace") known to a session."""
     for module in _SHIPPED:  # workers need not have the package installed
         register_pickle_by_value(sys.modules[module])
     spark.dataSource.register(TraceDataSource)
 
 
-def read_trace(spark: SparkSession, *paths: str, **options) -> DataFrame:
+def read_trace(spark: SparkSession, *paths: str, begin_ns: int | None = None, end_ns: int | None = None, **options) -> DataFrame:
+    """Events of trace directories, of a time range if one is given.
+
+    The range goes to the source as options, so that packets outside of it are neither decoded nor given a task, and is applied to events
+    again. It isn't left to filters pushed by Spark: 4.1 keeps what it pushed to a Python source for later queries on the same DataFrame."""
     register(spark)
-    return spark.read.format("trace").options(**{k: str(v) for k, v in options.items()}).load(json.dumps(list(paths)))
+    bounds = {"beginNs": begin_ns, "endNs": end_ns}
+    given = {k: str(v) for k, v in {**options, **bounds}.items() if v is not None}
+    out = spark.read.format("trace").options(**given).load(json.dumps(list(paths)))
+    if options.get("view", "events") == "events":
+        for bound, test in ((begin_ns, lambda t: t >= begin_ns), (end_ns, lambda t: t <= end_ns)):
+            if bound is not None:
+                out = out.where(test(F.col("ts_ns")) | F.col("ts_ns").isNull())
+    return out
 
 
 def decode_files(files: DataFrame, metadata: bytes, **options) -> DataFrame:
@@ -337,6 +326,7 @@ def decode_files(files: DataFrame, metadata: bytes, **options) -> DataFrame:
 
     class Given:
         catalogs, view, mode, batch = [catalog], "events", options.get("mode", "FAILFAST"), size
+        low, high = LOWEST, HIGHEST
 
     Given.layout = layout
 
