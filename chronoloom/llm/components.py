@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -15,15 +16,14 @@ def _digest(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node links to the node's smallest neighbour."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = F.least(F.min("b").over(W.partitionBy("a")), F.col("a"))
+    return both.withColumn("m", least).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it link to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
+    least = edges.withColumn("m", F.min("b").over(W.partitionBy("a")))
+    return least.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -188,10 +188,10 @@ def signatures(s: np.ndarray, row: np.ndarray, sizes: np.ndarray, frequent: np.n
 
 
 def sketches(s: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity bits of each row's set: as many bits as shingles or more, each flipped once for every shingle that falls on it.
+    """Parity bits of each row's set: four bits or more for a shingle, each flipped once for every shingle that falls on it.
 
     Two sets differ in at least as many elements as their sketches do in bits, so a sketch can rule a pair out and never in error."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
     start = np.concatenate(([0], np.cumsum(bits)))
     at = start[row] + (s & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -350,17 +350,19 @@ def _half(m: np.ndarray) -> np.ndarray:
 
 
 def open_pairs(failed: list[tuple], others: list[tuple]):
-    """Pairs (id, id) of two lists of (id, label, n, sketch) with other labels that sizes and sketches leave open."""
+    """Pairs (id, id) of two lists of (id, label, n, sketch, failed) with other labels that sizes and sketches leave open.
+
+    Of two sets that both failed only one asks for the other."""
     by_size: dict[int, list[tuple]] = {}
     for r in others:
         by_size.setdefault(len(r[3]), []).append(r)
-    ready = {k: (np.array([r[0] for r in v]), np.array([r[1] for r in v]), np.array([r[2] for r in v]), _matrix(v)) for k, v in by_size.items()}
-    for x, label, n, sketch in failed:
+    ready = {k: (*(np.array([r[i] for r in v]) for i in (0, 1, 2, 4)), _matrix(v)) for k, v in by_size.items()}
+    for x, label, n, sketch, _ in failed:
         mine = _matrix([(0, 0, 0, sketch)])
         for size in (len(sketch) // 2, len(sketch), 2 * len(sketch)):
             if size in ready:
-                ids, labels, sizes, m = ready[size]
-                fits = np.flatnonzero((labels != label) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
+                ids, labels, sizes, both, m = ready[size]
+                fits = np.flatnonzero((labels != label) & (~both | (ids > x)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
                 if len(fits):
                     a, b = mine, m[fits]
                     if size < len(sketch):
@@ -381,7 +383,7 @@ def _check_blocks(batches):
 
     now, failed, others = None, [], []
     for batch in batches:
-        for rep, i, j, role, *row in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "n", "sketch")), strict=True):
+        for rep, i, j, role, *row in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "n", "sketch", "failed")), strict=True):
             if (rep, i, j) != now:
                 if failed and others:
                     yield found(failed, others)
@@ -448,8 +450,9 @@ def _open_rest(links: DataFrame, failed: DataFrame, sets: DataFrame, labels: Dat
     i_blocks, j_blocks = F.ceil(F.col("n_failed") / _BLOCK).cast("int"), F.ceil(F.col("n_met") / _BLOCK).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     block = lambda k: F.pmod(F.xxhash64("x"), k).cast("int")
-    what = [F.col("x").alias("id"), "label", "n", "sketch"]
-    one = met.join(failed, ["rep", "x"], "left_semi").select("rep", block(i_blocks).alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), *what)
+    met = met.join(failed.select("rep", "x", F.lit(True).alias("failed")), ["rep", "x"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    what = [F.col("x").alias("id"), "label", "n", "sketch", "failed"]
+    one = met.where("failed").select("rep", block(i_blocks).alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), *what)
     other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what)
     return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_check_blocks, "x long, rep long")
 
@@ -500,30 +503,20 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     tested = links.join(side("x", "nx", "sx"), "x").join(side("rep", "nr", "sr"), "rep").mapInArrow(_sketch_links, "x long, rep long, open boolean")
     tested = materialize(tested, "tested")
     open_links = tested.where("open").select("x", "rep")
-    good = None
     labels = spark.createDataFrame([], "node long, label long")
     apart = lambda f: _relabel(_relabel(f, labels, "x", "lx"), labels, "rep", "lr").where("lx != lr").select("x", "rep")
-    checked = []
-    if not open_links.isEmpty():
-        texts = _texts(keyed, rows, open_links)
-        first = W.partitionBy("x").orderBy(F.desc("n"), "rep")
-        top = links.join(open_links, ["x", "rep"], "left_semi").withColumn("_r", F.row_number().over(first)).where("_r = 1").select("x", "rep")
-        # First the link that most signatures speak for; of the others, those that then still join two components.
-        for step in (lambda: top, lambda: apart(open_links.join(top, ["x", "rep"], "left_anti"))):
-            checked.append(materialize(_verify(step(), texts, width), "checked"))
-            more = checked[-1].where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
-            if not more.isEmpty():
-                good = more if good is None else good.unionAll(more)
-                labels = components(good)
+    ok = lambda f: f.where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
     bad = tested.where(~F.col("open")).select("x", "rep")
-    for c in checked:
-        bad = bad.unionAll(c.where(~F.col("ok")).select("x", "rep"))
+    good = None
+    if not open_links.isEmpty():
+        checked = materialize(_verify(open_links, _texts(keyed, rows, open_links), width), "checked")
+        bad, good = bad.unionAll(checked.where(~F.col("ok")).select("x", "rep")), ok(checked)
+        labels = components(good)
     failed = materialize(apart(bad), "failed")
-    rest = materialize(_open_rest(links, failed, sets, labels).distinct(), "rest")
-    rest = apart(rest)
+    rest = materialize(apart(_open_rest(links, failed, sets, labels).distinct()), "rest")
     if not rest.isEmpty():
         _release(spark)
-        more = materialize(_verify(rest, _texts(keyed, rows, rest), width), "checked").where("ok").select(F.col("x").alias("a"), F.col("rep").alias("b"))
+        more = ok(materialize(_verify(rest, _texts(keyed, rows, rest), width), "checked"))
         if not more.isEmpty():
             labels = components(more if good is None else good.unionAll(more))
     return rows.drop("sketch"), labels
