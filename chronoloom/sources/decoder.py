@@ -305,14 +305,43 @@ def _plain(cls: FieldClass) -> tuple[struct.Struct, int] | None:
     return struct.Struct(("<" if orders == {"little-endian"} else ">") + fmt), align
 
 
+def _runs(members: list[c.Member], names: list[str]) -> dict[int, tuple[struct.Struct, list[tuple[str, str, FieldClass]]]]:
+    """By first index: runs of two members or more that one `struct` call decodes where they begin on a byte."""
+    out, i = {}, 0
+    while i < len(members):
+        j = i
+        while j < len(members) and members[j].cls.kind in c.FIXED and members[j].cls.alignment <= 8 and _plain(FieldClass(c.STRUCTURE, members=members[i : j + 1])):
+            j += 1
+        if j - i > 1:
+            some = [(m.name, n, m.cls) for m, n in zip(members[i:j], names[i:j], strict=True)]
+            out[i] = (_plain(FieldClass(c.STRUCTURE, members=members[i:j]))[0], some)
+        i = max(j, i + 1)
+    return out
+
+
 def _structure(cls: FieldClass) -> Decode:
     names = member_names(cls.members)
     parts = [(m.name, n, compile_class(m.cls)) for m, n in zip(cls.members, names, strict=True)]
     align, plain = cls.effective_alignment, _plain(cls) if cls.members else None
+    runs = _runs(cls.members, names)
 
     def members(bits, at, mine, out):
-        fields = mine.fields
-        for name, column, part in parts:
+        fields, done = mine.fields, 0
+        for i, (name, column, part) in enumerate(parts):
+            if i < done:
+                continue
+            run = runs.get(i)
+            if run and not bits.pos & 7 and bits.pos + 8 * run[0].size <= bits.limit:
+                values = run[0].unpack_from(bits.data, bits.pos >> 3)
+                bits.pos += 8 * run[0].size
+                bits.order = run[1][0][2].byte_order
+                for (member, key, inner), v in zip(run[1], values, strict=True):
+                    out[key] = v
+                    fields.setdefault(member, (v, inner))
+                    if inner.roles and at.handle:
+                        at.handle(v, inner, None)
+                done = i + len(run[1])
+                continue
             try:
                 v, found = part(bits, at, lambda x, name=name: fields.setdefault(name, (x, None)))
             except TraceError as e:

@@ -26,10 +26,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..errors import TraceError
 from ..plans.schema import ERROR_COLUMN, EVENT_COLUMNS, PACKET_COLUMNS, Layout, arrow_type
+from .columnar import ColumnarDecoder
 from .decoder import PROPERTIES, Event, PacketState, StreamDecoder
 from .metadata import Catalog
 
-_SHIPPED = ("chronoloom.errors", "chronoloom.plans.schema", "chronoloom.sources.classes", "chronoloom.sources.metadata", "chronoloom.sources.decoder", "chronoloom.sources.trace_source")
+_SHIPPED = ("chronoloom.errors", "chronoloom.plans.schema", "chronoloom.sources.classes", "chronoloom.sources.metadata", "chronoloom.sources.decoder", "chronoloom.sources.columnar", "chronoloom.sources.trace_source")
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -158,13 +159,26 @@ def decode_slice(s: Settings, schema: T.StructType, at: Slice, data) -> Iterator
     """The rows of a slice. Packets whose times say that nothing of them lies in the range asked for are not decoded."""
     rows = Rows(s.layout, schema, s.batch)
     decoder = StreamDecoder(s.catalogs[at.trace], data)
+    columns, held = ColumnarDecoder(s.catalogs[at.trace], s.layout, rows.names, rows.kinds), []
     base: dict = {"trace_idx": at.trace, "trace_path": at.directory, "stream_file": at.file, "packet_idx": at.index}
     try:
         for packet in islice(decoder.packets(at.start, at.index), at.count):
             base = packet_values(at.trace, at.directory, at.file, packet)
             if s.view == "packets":
                 rows.add(base, None)
-            elif not outside(base, s.low, s.high):
+            elif outside(base, s.low, s.high):
+                continue
+            elif (made := columns.batch(data, packet, base)) is not None:
+                if rows.n:
+                    yield rows.batch()
+                held.append(made)
+                if sum(b.num_rows for b in held) >= s.batch:
+                    yield pa.concat_batches(held)
+                    held.clear()
+            else:
+                if held:
+                    yield pa.concat_batches(held)
+                    held.clear()
                 for event in decoder.events(packet):
                     if s.layout.wanted(event.cls):
                         rows.add(base, event)
@@ -173,12 +187,17 @@ def decode_slice(s: Settings, schema: T.StructType, at: Slice, data) -> Iterator
             if rows.n >= s.batch:
                 yield rows.batch()
     except TraceError as e:
+        if held:
+            yield pa.concat_batches(held)
+            held.clear()
         if s.mode == "FAILFAST":
             if rows.n:
                 yield rows.batch()
             raise
         if s.mode == "PERMISSIVE" and s.view == "events":
             rows.add(base, None, str(e))
+    if held:
+        yield pa.concat_batches(held)
     if rows.n:
         yield rows.batch()
 
