@@ -139,6 +139,7 @@ class Layout:
                     if names[key] > 1:
                         label = f"{label}#{names[key]}"
                 self.owners[prop][(t, s, e)] = (label, cls)
+        self._found: dict[tuple, Any] = {}
         self.types: dict[str, T.StructType | None] = {}
         self.merged: dict[str, bool] = {}
         for prop, owners in self.owners.items():
@@ -174,8 +175,13 @@ class Layout:
     def value(self, prop: str, trace: int, stream: int, event: int, decoded: Any) -> Any:
         if decoded is None:
             return None
-        found = next((self.owners[prop][k] for k in ((trace, stream, event), (trace, stream, None), (trace, None, None)) if k in self.owners[prop]), None)
+        key = (prop, trace, stream, event)
+        if key not in self._found:
+            owners = self.owners[prop]
+            found = next((owners[k] for k in ((trace, stream, event), (trace, stream, None), (trace, None, None)) if k in owners), None)
+            self._found[key] = found and (found[0], found[1], _has_variant(found[1]))
+        found = self._found[key]
         if found is None:
             return None
-        value = row_value(found[1], decoded)
+        value = row_value(found[1], decoded) if found[2] else decoded
         return {found[0]: value} if self.merged[prop] else value

@@ -93,35 +93,54 @@ def packet_values(trace: int, directory: str, file: str, s: PacketState) -> dict
 
 
 class Rows:
-    """Collects events to Arrow batches."""
+    """Collects events to Arrow batches. What a packet's events share is kept once for them all."""
+
+    _OWN = ("event_idx", "event_class_id", "event_ns", "event_name", "ts_cycles", "ts_ns", "has_clock")
 
     def __init__(self, layout: Layout, schema: T.StructType, size: int):
         self.layout, self.size = layout, size
         self.names = schema.names
         self.kinds = [arrow_type(f.dataType) for f in schema.fields]
+        self.properties = [p for p in layout.properties if p in self.names and p not in PROPERTIES[:2]]
+        self.shared = [p for p in PROPERTIES[:2] if p in self.names and p in layout.properties]
         self.clear()
 
     def clear(self):
-        self.columns: dict[str, list] = {n: [] for n in self.names}
+        self.runs: list[list] = []  # base, events, packet's own properties
+        self.rows: list[tuple] = []
+        self.errors: list[str | None] = []
         self.n = 0
 
     def add(self, base: dict, event: Event | None, error: str | None = None) -> None:
-        values = dict(base)
-        if event is not None:
-            s, trace = event.packet, base["trace_idx"]
-            values |= {
-                "event_idx": event.index, "event_class_id": event.cls.id, "event_ns": event.cls.namespace, "event_name": event.cls.name,
-                "ts_cycles": event.cycles, "ts_ns": _ns(s.stream, event.cycles) if s.stream.clock else 0, "has_clock": s.stream.clock is not None,
-            }
-            for p in self.layout.properties:
-                values[p] = self.layout.value(p, trace, s.stream.id, event.cls.id, event.properties[p])
-        values[ERROR_COLUMN] = error
-        for n, column in self.columns.items():
-            column.append(values.get(n))
+        if not self.runs or self.runs[-1][0] is not base:
+            trace, values = base["trace_idx"], {}
+            if event is not None:
+                for p in self.shared:
+                    values[p] = self.layout.value(p, trace, event.packet.stream.id, event.cls.id, event.properties[p])
+            self.runs.append([base, 0, values])
+        self.runs[-1][1] += 1
+        if event is None:
+            self.rows.append((None,) * (len(self._OWN) + len(self.properties)))
+        else:
+            s, cls = event.packet, event.cls
+            clock = s.stream.clock
+            own = (event.index, cls.id, cls.namespace, cls.name, event.cycles, _ns(s.stream, event.cycles) if clock else 0, clock is not None)
+            value, trace, stream = self.layout.value, base["trace_idx"], s.stream.id
+            self.rows.append(own + tuple(value(p, trace, stream, cls.id, event.properties[p]) for p in self.properties))
+        self.errors.append(error)
         self.n += 1
 
     def batch(self) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(self.columns[n], k) for n, k in zip(self.names, self.kinds, strict=True)], names=self.names)
+        own = dict(zip((*self._OWN, *self.properties), zip(*self.rows, strict=True), strict=True))
+        arrays = []
+        for name, kind in zip(self.names, self.kinds, strict=True):
+            if name in own:
+                arrays.append(pa.array(own[name], kind))
+            elif name == ERROR_COLUMN:
+                arrays.append(pa.array(self.errors, kind))
+            else:
+                arrays.append(pa.concat_arrays([pa.repeat(pa.scalar(base.get(name, values.get(name)), kind), n) for base, n, values in self.runs]))
+        out = pa.RecordBatch.from_arrays(arrays, names=self.names)
         self.clear()
         return out
 
