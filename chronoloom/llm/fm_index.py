@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_slices, text_buffer
+from .common import map_arrow, row_slices, text_buffer
 from .suffix import suffix_array
 from .words import ALNUM_SEPARATORS, words
 
 WIDTH = 10
 #: Bytes of test texts that one pass over the documents takes along; more are searched in further passes.
 PASS_BYTES = 32 << 20
-_SHARD = 4 << 20
+_SHARD = 2 << 20
 _SAMPLE = 16
 
 
@@ -253,7 +253,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         if k:  # what earlier passes found rides along in its own columns
             out = out.withColumnsRenamed({"hits": "_hits", "items": "_items"}).drop("n_words")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        out = out.mapInArrow(_search(sent), f"{schema}, {_FOUND}")
+        out = out.transform(map_arrow, _search(sent), f"{schema}, {_FOUND}")
         if k:
             out = out.withColumns({"hits": F.expr(_MERGE), "items": F.array_sort(F.array_union("_items", "items"))}).drop("_hits", "_items")
     return out.select(*names, "n_words", "hits", F.array_sort("items").alias("items"))
@@ -289,7 +289,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """docs without the test phrases in their texts; documents of which no word is left go. n_chars follows the text."""
     names = docs.columns
     found = find_contamination(docs, benchmark, width)
-    clean = found.mapInArrow(cut_spans, found.schema)
+    clean = found.transform(map_arrow, cut_spans, found.schema)
     left = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["n_words"])
     clean = clean.where((left > 0) | (F.size("hits") == 0))
     if "n_chars" in names:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, row_slices, text_buffer
+from .common import map_arrow, materialize, partitions, row_slices, text_buffer
 from .components import components
 from .words import SPACE_SEPARATORS, as_signed, mix, shingles, words
 
@@ -411,7 +411,7 @@ def frequent_shingles(docs: DataFrame, n: int, width: int) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"s": as_signed(v), "n": c})
 
     found = (
-        sample.mapInArrow(each, "s long, n long")
+        sample.transform(map_arrow, each, "s long, n long")
         .groupBy("s")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") >= max(10, SAMPLE_TEXTS // 400))
@@ -437,7 +437,7 @@ def _verify(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         sent.repartition(n, "rep", "block")
         .sortWithinPartitions("rep", "block", "role")
         .select("rep", "block", "role", "id", "text")
-        .mapInArrow(_check_links(width), "x long, rep long, ok boolean")
+        .transform(map_arrow, _check_links(width), "x long, rep long, ok boolean")
     )
 
 
@@ -454,7 +454,7 @@ def _open_rest(links: DataFrame, failed: DataFrame, sets: DataFrame, labels: Dat
     what = [F.col("x").alias("id"), "label", "n", "sketch", "failed"]
     one = met.where("failed").select("rep", block(i_blocks).alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), *what)
     other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what)
-    return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").mapInArrow(_check_blocks, "x long, rep long")
+    return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").transform(map_arrow, _check_blocks, "x long, rep long")
 
 
 def _texts(keyed: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -484,15 +484,15 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     spark = docs.sparkSession
     n = partitions(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
-    rows = materialize(keyed.mapInArrow(_describe(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long, sketch binary"), "rows")
+    rows = materialize(keyed.transform(map_arrow, _describe(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long, sketch binary"), "rows")
     n_docs = rows.count()
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n_docs, width))
     links = materialize(
         docs.select("text")
-        .mapInArrow(_sign(frequent, width, signature_bits(n_docs)), "sig long, set_id long")
+        .transform(map_arrow, _sign(frequent, width, signature_bits(n_docs)), "sig long, set_id long")
         .repartition(n, "sig")
         .sortWithinPartitions("sig")
-        .mapInArrow(_stars, "x long, rep long, n long")
+        .transform(map_arrow, _stars, "x long, rep long, n long")
         .groupBy("x", "rep")
         .agg(F.sum("n").alias("n")),
         "links",
@@ -500,7 +500,7 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     _release(spark)
     sets = materialize(rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sets")
     side = lambda id_, n, sketch: sets.select(F.col("set_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(sketch))
-    tested = links.join(side("x", "nx", "sx"), "x").join(side("rep", "nr", "sr"), "rep").mapInArrow(_sketch_links, "x long, rep long, open boolean")
+    tested = links.join(side("x", "nx", "sx"), "x").join(side("rep", "nr", "sr"), "rep").transform(map_arrow, _sketch_links, "x long, rep long, open boolean")
     tested = materialize(tested, "tested")
     open_links = tested.where("open").select("x", "rep")
     labels = spark.createDataFrame([], "node long, label long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_slices, text_buffer
+from .common import map_arrow, row_slices, text_buffer
 from .words import ALNUM_SEPARATORS, as_signed, mix, words
 
 CLASSES, PER_CLASS = 32, 32
@@ -163,12 +163,12 @@ def build_vocabulary(docs: DataFrame) -> Vocabulary:
     def count(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
-            for a, b in row_slices(offsets, 8 * _SLICE):
+            for a, b in row_slices(offsets, 2 * _SLICE):
                 h, _, _, _ = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM_SEPARATORS)
                 v, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"w": as_signed(v), "n": n})
 
-    top = docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - BUCKETS).toPandas()
+    top = docs.select("text").transform(map_arrow, count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - BUCKETS).toPandas()
     h = top["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return Vocabulary(h[order], np.arange(len(h))[order])
@@ -196,7 +196,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.0, seed: int
             if seen:
                 yield pa.RecordBatch.from_pydict({"i": np.arange(len(mine)), "v": mine.astype(float) * seen, "n": np.full(len(mine), float(seen))})
 
-        mean = part.select("text").mapInArrow(local, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("i").toPandas()
+        mean = part.select("text").transform(map_arrow, local, "i long, v double, n double").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("i").toPandas()
         if len(mean):
             flat = mean["v"].to_numpy(np.float32)
         start.unpersist()
@@ -221,4 +221,4 @@ def score_documents(docs: DataFrame, rate: float = 1.0, seed: int = 5) -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total), mean], names=[*batch.schema.names, "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return docs.mapInArrow(score, schema)
+    return docs.transform(map_arrow, score, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions, row_slices, text_buffer
+from .common import map_arrow, materialize, partitions, row_slices, text_buffer
 from .suffix import common_prefixes, suffix_array
 from .words import _BASE, _INVERSE, _powers, as_signed, mix
 
@@ -231,7 +231,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = partitions(docs.sparkSession)
     by_key, by_span = W.partitionBy("key"), W.partitionBy("key", "digest")
     spans = (
-        keyed.mapInArrow(_emit_spans(length), "key long, doc long, first long, last long, digest long")
+        keyed.transform(map_arrow, _emit_spans(length), "key long, doc long, first long, last long, digest long")
         .repartition(n, "key")
         .withColumn("lead", F.row_number().over(by_span.orderBy("doc", "first")) == 1)
         .withColumn("equal", F.count("*").over(by_span))
@@ -248,17 +248,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "first", "last", (F.col("equal") == 1).alias("alone"), "shard")).alias("spans"))
     pieces = (
         keyed.join(per_doc, "doc")
-        .mapInArrow(_cut_bytes(length), "key long, shard int, doc long, first long, alone boolean, bytes binary")
+        .transform(map_arrow, _cut_bytes(length), "key long, shard int, doc long, first long, alone boolean, bytes binary")
         .repartition(n, "key", "shard")
         .sortWithinPartitions("key", "shard")
     )
-    marks = materialize(pieces.mapInArrow(_mark_shards(length), _MARKS), "marks")
+    marks = materialize(pieces.transform(map_arrow, _mark_shards(length), _MARKS), "marks")
     inside = marks.where(F.col("window").isNull()).select("doc", "first", "last")
     across = (
         marks.where(F.col("window").isNotNull())
         .repartition(n, "window")
         .sortWithinPartitions("window")
-        .mapInArrow(_merge_shards, "doc long, first long, last long")
+        .transform(map_arrow, _merge_shards, "doc long, first long, last long")
     )
     return whole.unionAll(inside).unionAll(across)
 
@@ -302,4 +302,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)]
     )
-    return _with_key(docs).join(per_doc, "doc", "left").mapInArrow(_cut(length), schema)
+    return _with_key(docs).join(per_doc, "doc", "left").transform(map_arrow, _cut(length), schema)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary splits text before merging (its published pattern).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +74,7 @@ def tokenise(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN, end
                     yield from cut(False)
         yield from cut(True)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _BLOCK)
+    return docs.select("doc_id", "text").transform(map_arrow, run, _BLOCK)
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -89,7 +91,7 @@ def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_T
                         names=["shard", "block", "tokens", "names"],
                     )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _BLOCK)
+    return spark.read.format("binaryFile").load(path).select("path", "content").transform(map_arrow, run, _BLOCK)
 
 
 def _separators(end: int):
@@ -114,7 +116,7 @@ def _separators(end: int):
 
 def count_tokens(blocks: DataFrame, end: int = END) -> DataFrame:
     """shard, ordinal (of the document in its shard, from 0), name and n_tokens of each document in the blocks."""
-    scanned = blocks.mapInArrow(_separators(end), "shard string, block long, names array<string>, size long, first_end long, last_end long, inner array<long>")
+    scanned = blocks.transform(map_arrow, _separators(end), "shard string, block long, names array<string>, size long, first_end long, last_end long, inner array<long>")
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     ends = F.when(F.col("first_end").isNull(), F.lit(0)).otherwise(F.size("inner") + 1)
     # Prefix scan over the few rows of a shard's blocks; positions count from the start of the shard.

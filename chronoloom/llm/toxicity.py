@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, row_slices, text_buffer
+from .common import map_arrow, materialize, row_slices, text_buffer
 from .words import ALNUM_SEPARATORS, as_signed, mix, words
 
 _SLICE = 1 << 20
@@ -117,7 +117,7 @@ def _trigrams(batches):
     for batch in batches:
         raw, offsets = text_buffer(batch.column("text"))
         toxic = np.asarray(batch.column("toxic").to_numpy(zero_copy_only=False)).astype(np.int64)
-        for a, b in row_slices(offsets, 4 * _SLICE):
+        for a, b in row_slices(offsets, 2 * _SLICE):
             h, _, _, row = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM_SEPARATORS)
             if not len(h):
                 continue
@@ -201,7 +201,7 @@ def _sample(docs: DataFrame, labels: DataFrame, folds: tuple[int, ...], per_clas
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, calibration: int = 3000, rare: float = 4.0) -> KneserNey | None:
     bigrams = materialize(
         _sample(docs, labels, (1, 2, 3), per_class)
-        .mapInArrow(_trigrams, "u long, v long, w long, toxic int")
+        .transform(map_arrow, _trigrams, "u long, v long, w long, toxic int")
         .groupBy("u", "v", "w", "toxic")
         .count()
         .groupBy("v", "w")
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, calibration
             total, count, strong = sent.value.evidence(b.column("text"))
             yield pa.RecordBatch.from_pydict({"total": total, "n": count, "strong": strong, "toxic": b.column("toxic")})
 
-    seen = _sample(docs, labels, (4,), calibration).mapInArrow(measure, "total double, n double, strong double, toxic int").toPandas()
+    seen = _sample(docs, labels, (4,), calibration).transform(map_arrow, measure, "total double, n double, strong double, toxic int").toPandas()
     seen = seen.sort_values(["total", "n", "strong", "toxic"])
     if seen["toxic"].nunique() < 2:
         model.curve = (-1.0, 5.0, 0.0, 0.0, 0.0)
@@ -242,4 +242,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(score, schema)
+    return docs.transform(map_arrow, score, schema)

@@ -28,8 +28,17 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-@functools.lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ...; the common length is kept, longer ones serve one very long text."""
+    return _kept_powers(base) if n == _CHUNK + 1 else _new_powers(base, n)
+
+
+@functools.lru_cache(maxsize=4)
+def _kept_powers(base: int) -> np.ndarray:
+    return _new_powers(base, _CHUNK + 1)
+
+
+def _new_powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
     have = 1
