@@ -36,7 +36,7 @@ _CLASSES = 3
 _SLICE = 1 << 19
 #: Spans of one key that a shard takes, and bytes of spans in one suffix array.
 SHARD_SPANS = 8000
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
