@@ -94,3 +94,11 @@ def test_query_equals_its_sql(spark, name):
     assert columns == sorted(got.columns)
     rows = [sorted((tuple(map(same, r)) for r in f[columns].astype(object).itertuples(index=False)), key=str) for f in (expected, got)]
     assert rows[0] == rows[1]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_lineitem_round_trip_covers_the_whole_table(spark):
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"]
+    items = queries.table(spark, DATA, "lineitem").select(*columns, (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_ns"))
+    got = queries.QUERIES["ctf_roundtrip_lineitem"](spark, DATA).select(*columns, "ts_ns")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, items.collect()))
