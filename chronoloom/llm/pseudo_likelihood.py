@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network in numpy predicts every word from the words on both sides.
 
-The vocabulary has the most frequent words of the corpus and hash buckets for all others. A word's probability given
-two words before and two after it is that of its class times that of the word in its class (a factored softmax over 32 classes of 32).
+The network's vocabulary has the most frequent words of the corpus and hash buckets for all others. A word's probability given
+two words before and two after it is that of its class times that of the word in its class (a factored softmax over 32 classes of 32);
+for a word in a bucket, times the word's share of the bucket in the counts of the whole corpus. So every word itself is predicted.
+Counts of words outside the vocabulary are as many as the corpus has words; they stay in a table that distinct texts are joined with.
 Training goes over every document once: in a first round on one document of eight and in a second on the rest, each
 partition trains its own copy by gradient descent from the round's common start, and the copies are averaged by the words they saw.
 A document's score is the sum of its words' conditional log-probabilities.
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, row_slices, text_buffer
+from .common import map_arrow, materialize, row_slices, text_buffer
 from .words import ALNUM_SEPARATORS, as_signed, mix, words
 
 CLASSES, PER_CLASS = 32, 32
@@ -157,8 +159,8 @@ def _texts(batch, vocabulary: Vocabulary):
         yield a, b, vocabulary.encode(h), row
 
 
-def build_vocabulary(docs: DataFrame) -> Vocabulary:
-    """The words most frequent over all documents; classes are runs of the order by frequency."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """w (a word's hash) and n for every word of the corpus."""
 
     def count(batches):
         for batch in batches:
@@ -168,12 +170,57 @@ def build_vocabulary(docs: DataFrame) -> Vocabulary:
                 v, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"w": as_signed(v), "n": n})
 
-    top = docs.select("text").transform(map_arrow, count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(VOCABULARY - BUCKETS).toPandas()
+    return docs.select("text").transform(map_arrow, count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+
+
+def _most_frequent(counts: DataFrame) -> Vocabulary:
+    top = counts.orderBy(F.desc("n"), "w").limit(VOCABULARY - BUCKETS).toPandas()
     h = top["w"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return Vocabulary(h[order], np.arange(len(h))[order])
 
 
+def build_vocabulary(docs: DataFrame) -> Vocabulary:
+    """The words most frequent over all documents; classes are runs of the order by frequency."""
+    return _most_frequent(count_words(docs))
+
+
+def word_shares(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """w and log_share of each word out of the vocabulary: the logarithm of its part of its bucket's tokens."""
+
+    def place(batches):
+        for batch in batches:
+            ids = vocabulary.encode(batch.column("w").to_numpy(zero_copy_only=False).view(np.uint64))
+            rare = pa.array(ids >= VOCABULARY - BUCKETS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=["w", "n", "bucket"]).filter(rare)
+
+    placed = counts.select("w", "n").transform(map_arrow, place, "w long, n long, bucket long")
+    totals = placed.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return placed.join(F.broadcast(totals), "bucket").select("w", F.log(F.col("n") / F.col("total")).alias("log_share"))
+
+
+def rare_log_likelihood(docs: DataFrame, vocabulary: Vocabulary, shares: DataFrame) -> DataFrame:
+    """_text (hash of a text) and rare: the sum of log_share over the text's words out of the vocabulary; of distinct texts."""
+
+    def bags(batches):
+        for batch in batches:
+            raw, offsets = text_buffer(batch.column("text"))
+            key = batch.column("_text").to_numpy(zero_copy_only=False)
+            for a, b in row_slices(offsets, _SLICE):
+                h, _, _, row = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], ALNUM_SEPARATORS)
+                rare = vocabulary.encode(h) >= VOCABULARY - BUCKETS
+                h, row = h[rare], row[rare]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                heads = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
+                times = np.diff(np.append(heads, len(h)))
+                yield pa.RecordBatch.from_pydict({"_text": key[a:b][row[heads]], "w": as_signed(h[heads]), "times": times.astype(np.int64)})
+
+    texts = docs.select("text").where(F.col("text") != "").distinct().withColumn("_text", F.xxhash64("text"))
+    found = texts.transform(map_arrow, bags, "_text long, w long, times long").join(shares, "w")
+    return found.groupBy("_text").agg(F.sum(F.col("times") * F.col("log_share")).alias("rare"))
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.0, seed: int = 5) -> np.ndarray:
     """Weights after two rounds of local training and averaging over all documents."""
     spark = docs.sparkSession
@@ -206,8 +253,10 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rate: float = 1.0, seed: int
 def score_documents(docs: DataFrame, rate: float = 1.0, seed: int = 5) -> DataFrame:
     """docs' columns with n_tokens, log_likelihood and mean_log_likelihood."""
     docs = docs.drop("n_tokens", "log_likelihood", "mean_log_likelihood")
-    vocabulary = build_vocabulary(docs)
+    counts = materialize(count_words(docs), "words")
+    vocabulary = _most_frequent(counts)
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, train(docs, vocabulary, rate, seed)))
+    rare = rare_log_likelihood(docs, vocabulary, word_shares(counts, vocabulary))
 
     def score(batches):
         vocabulary, flat = model.value
@@ -217,8 +266,15 @@ def score_documents(docs: DataFrame, rate: float = 1.0, seed: int = 5) -> DataFr
                 if len(ids):
                     n[a:b] = np.bincount(row, minlength=b - a)
                     total[a:b] = np.bincount(row, log_probabilities(flat, ids, row), b - a)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total), mean], names=[*batch.schema.names, "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType()), T.StructField("mean_log_likelihood", T.DoubleType())])
-    return docs.transform(map_arrow, score, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(total)], names=[*batch.schema.names, "n_tokens", "log_likelihood"])
+
+    keyed = docs.withColumn("_text", F.xxhash64("text"))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())])
+    total = F.col("log_likelihood") + F.coalesce("rare", F.lit(0.0))
+    return (
+        keyed.transform(map_arrow, score, schema)
+        .join(rare, "_text", "left")
+        .withColumn("log_likelihood", total)
+        .withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+        .drop("_text", "rare")
+    )

@@ -205,6 +205,22 @@ def test_pseudo_likelihood_learns(spark):
     assert pseudo_likelihood.score_documents(frame(spark, [])).count() == 0
 
 
+def test_pseudo_likelihood_predicts_words_within_buckets(spark):
+    common = " ".join(f"c{k}" for k in range(800))
+    docs = frame(spark, [*((i, common) for i in range(5)), *((10 + i, f"r{i}") for i in range(500)), (600, "r7"), (601, "r7"), (602, "r8 c1 r8")])
+    counts = Counter(w for (t,) in docs.select("text").collect() for w in t.split())
+    vocabulary = pseudo_likelihood.build_vocabulary(docs)
+    h = {w: pseudo_likelihood.words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), pseudo_likelihood.ALNUM_SEPARATORS)[0] for w in counts}
+    bucket = {w: int(vocabulary.encode(x)[0]) for w, x in h.items()}
+    assert all((bucket[w] >= 800) == (w[0] == "r") for w in counts)
+    out = {x.doc_id: x.log_likelihood for x in pseudo_likelihood.score_documents(docs).collect()}
+    assert len(out) == 508 and out[17] == out[600] == out[601]
+    same = [i for i in range(500) if bucket[f"r{i}"] == bucket["r7"]]
+    assert len(same) > 1
+    for i in same:  # the network sees one word for all of a bucket; what differs is the words' counts
+        assert abs(out[17] - out[10 + i] - np.log(counts["r7"] / counts[f"r{i}"])) < 1e-6
+
+
 # 6: token counts
 
 
