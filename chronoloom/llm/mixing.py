@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is weight * total rows / rows of the source. Each document draws a uniform number from a
 hash of seed, doc_id and text and inverts the Poisson distribution of that mean: its count is the number of values k whose
-distribution function P(X <= k) lies at or below the draw. The document is exploded by its count and the copies are dealt
+distribution function P(X <= k) lies at or below the draw. A mean above MOST_RATE is split into equal parts up to it, each
+with a draw of its own; the sum of their counts has the Poisson distribution of the whole mean, however large. The document is exploded by its count and the copies are dealt
 to partitions and sorted there by a second hash, which is a global shuffle that repeats exactly when tasks are rerun.
 
 Defined results: a null source is the source "" for weights; sources without a weight get an equal share of what the named
@@ -20,7 +21,7 @@ from .common import partitions
 
 #: Sources up to which the table of rates is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 10_000
-#: Draws have 48 bits, so no count beyond this number of terms can be drawn at rates up to MOST_RATE.
+#: Largest mean of one draw. Draws have 48 bits, so no count beyond this number of terms can be drawn at rates up to it.
 MOST_RATE = 64.0
 _TERMS = 200
 
@@ -43,7 +44,7 @@ def poisson_thresholds(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
-    """source_key, rate and thresholds of each source. size: wanted rows as a multiple of the rows there are."""
+    """source_key, rate, parts and thresholds (of one part) of each source. size: wanted rows as a multiple of the rows there are."""
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("source_key")).agg(F.count("*").alias("n"))
     totals = counts.agg(
         F.sum("n").alias("total"),
@@ -54,12 +55,13 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, size:
     for name, w in (weights or {}).items():
         weight = F.when(F.col("source_key") == name, F.lit(float(w))).otherwise(weight)
     total = totals.withColumn("_one", F.lit(1))
-    rate = F.least(F.lit(MOST_RATE), weight * F.lit(float(size)) * F.col("total") / F.col("n"))
+    rate = weight * F.lit(float(size)) * F.col("total") / F.col("n")
     return (
         counts.withColumn("_one", F.lit(1))
         .join(F.broadcast(total), "_one")  # one row
         .withColumn("rate", rate)
-        .select("source_key", "rate", poisson_thresholds(F.col("rate")).alias("thresholds"))
+        .withColumn("parts", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("rate") / MOST_RATE)))
+        .select("source_key", "rate", "parts", poisson_thresholds(F.col("rate") / F.col("parts")).alias("thresholds"))
     )
 
 
@@ -69,13 +71,19 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, size:
     rates = source_rates(docs, weights, size)
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    draw = uniform(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
+    text_key = F.md5(F.coalesce("text", F.lit("")))
+
+    def count(u: Column) -> Column:
+        return F.size(F.filter("thresholds", lambda t: t <= u)).cast("long")
+
+    further = F.aggregate(F.sequence(F.lit(2).cast("long"), F.col("parts")), F.lit(0).cast("long"), lambda n, k: n + count(uniform(seed, F.col("doc_id"), F.col("_text"), k)))
     drawn = (
         docs.withColumn("source_key", F.coalesce("source", F.lit("")))
-        .withColumn("_u", draw)
+        .withColumn("_text", text_key)
+        .withColumn("_u", uniform(seed, F.col("doc_id"), F.col("_text")))
         .join(rates, "source_key")
-        .withColumn("n_copies", F.size(F.filter("thresholds", lambda t: t <= F.col("_u"))).cast("long"))
-        .drop("source_key", "_u", "rate", "thresholds")
+        .withColumn("n_copies", count(F.col("_u")) + F.when(F.col("parts") > 1, further).otherwise(0))
+        .drop("source_key", "_text", "_u", "rate", "parts", "thresholds")
         .where(F.col("n_copies") > 0)
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))

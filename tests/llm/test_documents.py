@@ -172,6 +172,17 @@ def test_mixing_edge_cases(spark):
     assert mixing.poisson_mix(docs, size=0.0).count() == 0
 
 
+def test_mixing_reaches_rates_above_one_draw(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "small" if i < 10 else "big", 6) for i in range(8000)], SCHEMA)
+    rates = {r.source_key: r.rate for r in mixing.source_rates(docs, {"small": 0.5, "big": 0.5}).collect()}
+    assert rates["small"] == 400.0
+    out = mixing.poisson_mix(docs, {"small": 0.5, "big": 0.5})
+    per = Counter(r.source for r in out.select("source").collect())
+    assert abs(per["small"] - 4000) < 5 * 4000**0.5 and abs(per["big"] - 4000) < 5 * 4000**0.5
+    copies = sorted(r.n_copies for r in out.where("source = 'small' and copy = 1").collect())
+    assert len(copies) == 10 and 300 < copies[0] < copies[-1] < 500  # 5 standard deviations of 20
+
+
 # 5: pseudo-likelihood
 
 
