@@ -138,7 +138,7 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarr
     text = np.frombuffer(b"\x00".join([*pieces, b""]), np.uint8).astype(np.int64) + 1
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))
     text[starts[1:] - 1] = 0  # ends of pieces; a window within a piece never holds one
-    sa = suffix_array(text, length)
+    sa = suffix_array(text)  # in full: the common prefixes of an array cut off at some depth can be too long
     equal = common_prefixes(text, sa, length) >= length
     marked = np.zeros(len(text), bool)
     marked[sa[equal]] = True

@@ -362,6 +362,18 @@ def test_repeats_match_brute_force(spark, monkeypatch, spans):
         assert sum(s.end - s.start for s in out[i].spans) == out[i].n_removed
 
 
+def test_windows_of_spans_that_agree_beyond_the_length():
+    r = random.Random(4)
+    for trial in range(150):
+        shared = bytes(r.choice(b"ab") for _ in range(512 + trial % 10))
+        tails = [bytes(r.choice(b"abcd") for _ in range(522 - len(shared))) for _ in range(2)]
+        others = [bytes(r.choice(b"ab") for _ in range(r.randint(400, 522))) for _ in range(4)]
+        pieces = [*others[:2], shared + b"z" + tails[0], others[2], shared + b"a" + tails[1], others[3]]
+        counts = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
+        got = repeats.repeated_windows(pieces)
+        assert [g.tolist() for g in got] == [[counts[p[i : i + 400]] > 1 for i in range(len(p) - 399)] for p in pieces]
+
+
 def test_repeats_of_odd_tables(spark):
     out = repeats.remove_repeats(frame(spark, [*odd_rows(), (9, prose(5, 200)), (9, prose(5, 200))])).collect()
     assert [r.n_removed for r in out if r.doc_id == 9] == [len(prose(5, 200))] * 2
