@@ -299,8 +299,9 @@ def coerce_uint(spark, sf_dir):
 
 @query("coerce_int", "SELECT c_custkey, CAST(least(CAST(c_custkey AS DECIMAL(20,0)) * 1000000000000000000, 9223372036854775807) AS BIGINT) AS from_uint, 9223372036854775807 AS from_text FROM customer WHERE c_custkey < 18")
 def coerce_int(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey < 18")
-    big = (F.col("c_custkey").cast("decimal(19,0)") * F.lit("1000000000000000000").cast("decimal(19,0)")).cast(N.U64)
+    c = table(spark, sf_dir, "customer")
+    # Up to 17 * 10^18, which 64 bits hold for every key.
+    big = ((F.col("c_custkey") % 18).cast("decimal(19,0)") * F.lit("1000000000000000000").cast("decimal(19,0)")).cast(N.U64)
     return c.select("c_custkey", N.to_int(big, "unsigned int").alias("from_uint"), N.to_int(F.col("c_name"), "string").alias("from_text"))
 
 

@@ -102,3 +102,10 @@ def test_lineitem_round_trip_covers_the_whole_table(spark):
     items = queries.table(spark, DATA, "lineitem").select(*columns, (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("ts_ns"))
     got = queries.QUERIES["ctf_roundtrip_lineitem"](spark, DATA).select(*columns, "ts_ns")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, items.collect()))
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_int_coercion_covers_every_customer(spark):
+    keys = [r.c_custkey for r in queries.table(spark, DATA, "customer").select("c_custkey").collect()]
+    got = [tuple(r) for r in queries.QUERIES["coerce_int"](spark, DATA).select("c_custkey", "from_uint", "from_text").collect()]
+    assert sorted(got) == sorted((k, min(k % 18 * 10**18, 2**63 - 1), 2**63 - 1) for k in keys) and max(keys) > 18
