@@ -4,7 +4,12 @@ A message's lines are parsed into nested quote levels by their leading `>` marks
 level is a passage; it is normalised (A-Z lower-cased, white space squeezed) and hashed, whole and line by line. A passage
 links to the message of the same conversation that wrote it: the latest earlier turn whose own text has that passage as
 a paragraph or has its first line as a line of its own. A message's parent is the origin of its last quoted
-passage of level 1, or else the turn before it. Conversations come out in reply order: turns sorted by their chain of parents.
+passage of level 1, or else the turn before it. Conversations come out in reply order: a turn, then what quotes it (by turn), each
+with all of its own replies, then what follows it without a quote.
+
+A run of turns of which each answers the one before is a branch; a turn that answers another one heads a new branch. A turn's
+reply path names the turn at which each branch on the way from the first turn is left, and the turn itself: within branches the
+chain of parents is turn by turn. Paths of branches are built by pointer doubling, and reply order is the order of paths.
 
 Defined results: null text is empty; a null conv_id is a conversation of its own; a null turn sorts first and a null role
 stays null. Equal turns are ordered by role and text. Repeated rows stay. An empty table gives an empty result.
@@ -16,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 
@@ -74,8 +81,45 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     )
 
 
+def _branches(parsed: DataFrame, found: DataFrame) -> DataFrame:
+    """parsed with its links, place (from 1 in the conversation), parent_turn, heads (whether a branch begins) and branch (from 0)."""
+    order = W.partitionBy("_conv").orderBy("turn", "role", "text")
+    linked = (
+        parsed.join(found, ["_conv", "_id"], "left")
+        .withColumn("previous_turn", F.lag("turn").over(order))
+        .withColumn("place", F.row_number().over(order))
+        .withColumn("parent_turn", F.coalesce("quoted_turn", "previous_turn"))
+        .withColumn("heads", F.col("quoted_turn").isNotNull() & ~F.col("quoted_turn").eqNullSafe(F.col("previous_turn")))
+    )
+    return linked.withColumn("branch", F.sum(F.when(F.col("heads"), 1).otherwise(0)).over(order))
+
+
+def _branch_paths(linked: DataFrame) -> DataFrame:
+    """_conv, branch and path: the places and turns at which the branches above are left, from the first one; of all branches but it."""
+    rows = linked.select("_conv", "turn", "place", "branch", "heads", "quoted_turn")
+    # An answer goes to the first row of its turn.
+    targets = rows.groupBy("_conv", F.col("turn").cast("long").alias("quoted_turn")).agg(F.min(F.struct("place", "branch")).alias("at"))
+    paths = materialize(
+        rows.where("heads")
+        .select("_conv", "branch", F.col("quoted_turn").cast("long").alias("quoted_turn"))
+        .join(targets, ["_conv", "quoted_turn"])
+        .select("_conv", "branch", F.col("at.branch").alias("up"), F.array(F.struct(F.col("at.place").alias("place"), F.col("quoted_turn").alias("turn"))).alias("path")),
+        "branches",
+    )
+    # Each round doubles the branches that a path covers.
+    while not paths.where(F.col("up") > 0).isEmpty():
+        above = paths.select("_conv", F.col("branch").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        paths = materialize(
+            paths.join(above, ["_conv", "up"], "left").select(
+                "_conv", "branch", F.coalesce("_up", F.lit(0)).cast("long").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path")
+            ),
+            "branches",
+        )
+    return paths.select("_conv", "branch", "path")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """One row per message: conv_id, turn, role, own, depth, n_passages, n_linked, parent_turn, reply_path and reply_order.
+    """One row per message: conv_id, turn, role, own, depth, n_passages, n_linked, quoted_turn, parent_turn, reply_path and reply_order.
 
     Own texts meet quoted passages by conversation and hash, never as pairs of messages; the latest earlier origin wins.
     """
@@ -118,19 +162,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
             F.max_by("origin", F.when((F.col("level") == 1) & F.col("origin").isNotNull(), F.col("pos"))).alias("quoted_turn"),
         )
     )
-    order = W.partitionBy("_conv").orderBy("turn", "role", "text")
-    # A turn's path is its chain of parents; a parent is an earlier turn, so paths sort as replies do.
-    linked = (
-        parsed.join(found, ["_conv", "_id"], "left")
-        .withColumn("previous_turn", F.lag("turn").over(order))
-        .withColumn("parent_turn", F.coalesce("quoted_turn", "previous_turn"))
+    found = materialize(found, "quotes")  # one row per quoting message; used for branches and for the result
+    linked = _branches(parsed, found)
+    answered = found.where(F.col("quoted_turn").isNotNull()).select("_conv").distinct()
+    paths = _branch_paths(_branches(parsed.join(answered, "_conv", "left_semi"), found))
+    place = F.struct(F.col("place"), F.col("turn").cast("long").alias("turn"))
+    whole = linked.join(paths, ["_conv", "branch"], "left").withColumn(
+        "_path", F.concat(F.coalesce("path", F.array().cast("array<struct<place:int,turn:bigint>>")), F.array(place))
     )
-    branch = F.sum(F.when(F.col("quoted_turn").isNotNull() & ~F.col("quoted_turn").eqNullSafe(F.col("previous_turn")), 1).otherwise(0)).over(order)
-    linked = linked.withColumn("branch", branch)
-    # Within a branch turns follow each other; a branch sorts right after the turn that it answers.
-    heads = linked.withColumn("branch_root", F.first("parent_turn").over(W.partitionBy("_conv", "branch").orderBy("turn", "role", "text")))
-    by_reply = W.partitionBy("_conv").orderBy(F.when(F.col("branch") == 0, F.col("turn")).otherwise(F.col("branch_root")), "branch", "turn", "role", "text")
-    return heads.select(
+    return whole.select(
         "conv_id",
         "turn",
         "role",
@@ -140,5 +180,6 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
         F.col("quoted_turn"),
         "parent_turn",
-        F.row_number().over(by_reply).cast("long").alias("reply_order"),
+        F.transform("_path", lambda x: x["turn"]).alias("reply_path"),
+        F.row_number().over(W.partitionBy("_conv").orderBy("_path")).cast("long").alias("reply_order"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,42 @@ def test_quotes_link_to_the_latest_earlier_origin(spark):
     assert quotes.link_quotes(table.limit(0)).count() == 0
 
 
+def test_replies_follow_what_they_answer_at_any_depth(spark):
+    def brute(parents):
+        """Preorder: what quotes a turn first, then the turn after it."""
+        below = {t: sorted((c for c, p in parents.items() if p == t), key=lambda c: (t is not None and c == t + 1, c)) for t in [None, *parents]}
+        out, open_ = [], below[None][::-1]
+        while open_:
+            out.append(open_.pop())
+            open_ += below[out[-1]][::-1]
+        return out
+
+    r = random.Random(6)
+    talks = {1: {2: 0, 3: 1, 4: 2}, 2: {}, 3: {t: t - 2 for t in range(2, 20)}}
+    for conv in range(4, 14):
+        talks[conv] = {t: r.randrange(t) for t in range(1, 25) if r.random() < 0.6}
+    rows, expected = [], {}
+    for conv, quotes_of in talks.items():
+        n = 25 if conv > 3 else 20 if conv == 3 else 5
+        rows += [(conv, t, "u", f"> words {quotes_of[t]}\n\nwords {t}" if t in quotes_of else f"words {t}") for t in range(n)]
+        parents = {t: quotes_of.get(t, t - 1 if t else None) for t in range(n)}
+        expected[conv] = (parents, brute(parents))
+    assert expected[1][1] == [0, 2, 4, 1, 3]
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(found) == len(rows)
+    for conv, (parents, order) in expected.items():
+        mine = sorted((x for x in found if x.conv_id == conv), key=lambda x: x.reply_order)
+        assert {x.turn: x.parent_turn for x in mine} == parents
+        assert [x.turn for x in mine] == order
+        for x in mine:  # from each turn on the path, the next one is reached backwards turn by turn, then by one answer
+            chain, at = [x.turn], x.turn
+            while parents[at] is not None:
+                if parents[at] != at - 1:
+                    chain.insert(0, parents[at])
+                at = parents[at]
+            assert x.reply_path == chain
+
+
 def test_listed_rules_and_parts_of_urls(spark):
     urls = [
         "http://A.Example.NET/en/x?q=1#f", "https://example.net/enx", "http://foo.example.com/de/1", "http://bar.org/fr/", "http://net/", "http://x.net", "http://notnet/",
