@@ -2,7 +2,9 @@
 
 A url is cut into tokens (scheme, domain suffixes, host labels, path parts without numbers, query keys). FP-growth mines token
 sets that go with the label "unwanted"; rules below the least confidence or support go, and so do rules that a
-subset of theirs, at least as confident, makes needless. Each rule is indexed under its rarest token; a page meets only the rules
+subset of theirs, at least as confident, makes needless. All tokens of a url count. Tokens below the least support are in
+no rule and go first. Tokens that labelled pages only hold together (told by sums of two 64-bit hashes) are mined as one and
+put in each other's place in the rules found: a rule with two of them is needless, so this gives the same rules. Each rule is indexed under its rarest token; a page meets only the rules
 indexed under one of its tokens and matches if it has all tokens of the rule.
 
 Defined results: a null url or one without `://` has empty host and path, fits no rule and is allowed. Repeated pages get equal
@@ -12,6 +14,8 @@ an empty result. Only page_id and url are read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,36 +71,60 @@ def url_tokens(pages: DataFrame) -> DataFrame:
     return pages.withColumn("tokens", F.when(F.col("host") != "", F.array_distinct(tokens)).otherwise(F.array().cast("array<string>")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, least_pages: int = 20, most_tokens: int = 24) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, least_pages: int = 20) -> DataFrame:
     """Rules (rule_tokens, key, confidence) from labelled (tokens, unwanted); key is a rule's rarest token.
 
-    A rule holds for min_support of the labelled pages and for least_pages of them. Very long urls would make FP-growth's sets
-    explode: only their first most_tokens tokens are mined."""
+    A rule holds for min_support of the labelled pages and for least_pages of them."""
     spark = labelled.sparkSession
     schema = "rule_tokens array<string>, key string, confidence double"
-    baskets = labelled.select(
-        F.concat(F.slice("tokens", 1, most_tokens), F.when(F.col("unwanted"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))).alias("items")
-    )
-    n = baskets.count()
+    n = labelled.count()
     if n < least_pages:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, least_pages / n), minConfidence=min_confidence).fit(baskets)
+    support = max(min_support, least_pages / n)
+    # Pages of one token set and label are one row, m times.
+    rows = labelled.groupBy("tokens", "unwanted").agg(F.count("*").alias("m"))
+    sums = [F.sum(F.xxhash64(F.lit(k), F.array_join("tokens", "\n")).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    stats = rows.select("m", "tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("m").alias("freq"), *sums)
+    # At most n / least count times the tokens of a page.
+    classes = (
+        stats.where(F.col("freq") >= math.ceil(support * n))
+        .groupBy("freq", "h1", "h2")
+        .agg(F.sort_array(F.collect_list("token")).alias("members"))
+        .select(F.col("members")[0].alias("token"), "freq", "members")
+    )
+    baskets = (
+        rows.select("tokens", "unwanted", "m", F.explode_outer("tokens").alias("token"))
+        .join(F.broadcast(classes.select("token", F.col("token").alias("kept"))), "token", "left")
+        .groupBy("tokens", "unwanted", "m")
+        .agg(F.collect_set("kept").alias("kept"))
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+        .select(F.concat("kept", F.when(F.col("unwanted"), F.array(F.lit(UNWANTED))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    )
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent") == F.array(F.lit(UNWANTED))).select(
         F.sort_array("antecedent").alias("rule_tokens"), "confidence"
     )
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = (
-        found.withColumn("token", F.explode("rule_tokens"))
-        .join(single, "token")
-        .groupBy("rule_tokens", "confidence")
-        .agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-    )
     # A rule goes if dropping some of its tokens leaves a rule that is as confident.
-    smaller = rarest.select(
+    smaller = found.select(
         F.col("rule_tokens").alias("_whole"), F.col("confidence").alias("_sure"), F.explode(F.transform("rule_tokens", lambda x: F.array_remove("rule_tokens", x))).alias("rule_tokens")
     )
-    needless = smaller.join(rarest.select("rule_tokens", "confidence"), "rule_tokens").where(F.col("confidence") >= F.col("_sure")).select(F.col("_whole").alias("rule_tokens")).distinct()
-    return rarest.join(needless, "rule_tokens", "left_anti").select("rule_tokens", "key", "confidence")
+    needless = smaller.join(found, "rule_tokens").where(F.col("confidence") >= F.col("_sure")).select(F.col("_whole").alias("rule_tokens")).distinct()
+    needed = found.join(needless, "rule_tokens", "left_anti")
+    # One rule for each choice of a member of every class in it.
+    item = "struct<freq:bigint,token:string>"
+    choices = F.aggregate(
+        "classes",
+        F.array(F.array().cast(f"array<{item}>")),
+        lambda acc, members: F.flatten(F.transform(acc, lambda rule: F.transform(members, lambda x: F.concat(rule, F.array(x))))),
+    )
+    return (
+        needed.withColumn("token", F.explode("rule_tokens"))
+        .join(classes, "token")
+        .groupBy("rule_tokens", "confidence")
+        .agg(F.collect_list(F.transform("members", lambda x: F.struct(F.col("freq").alias("freq"), x.alias("token")))).alias("classes"))
+        .select("confidence", F.explode(choices).alias("rule"))
+        .select(F.sort_array(F.transform("rule", lambda x: x["token"])).alias("rule_tokens"), F.array_min("rule")["token"].alias("key"), "confidence")
+    )
 
 
 def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:

@@ -105,6 +105,19 @@ def test_association_rules_block_and_are_pruned(spark):
     assert [r.rule_tokens for r in mined if r.confidence == 1.0] == [["path=deal"]]
 
 
+def test_rules_on_the_last_parts_of_long_urls(spark):
+    path = "/".join(f"part{chr(97 + k)}" for k in range(20))
+    keys = "&".join(f"k{k}=1" for k in range(20))
+    pages = [(i, f"http://a.b.c.shop{i % 7}.com/{path}/{'deal' if i % 4 == 0 else 'news'}?{keys}{'&spam=1&junk=2' if i % 4 == 1 else ''}") for i in range(400)]
+    table = spark.createDataFrame(pages, "page_id long, url string")
+    marks = spark.createDataFrame([(i, i % 4 < 2) for i in range(0, 400, 3)], "page_id long, unwanted boolean")
+    out = {r.page_id: r.verdict for r in url_rules.filter_urls(table, marks, rules=[], min_confidence=0.9).collect()}
+    assert len(out) == 400 and all((out[i] == "block") == (i % 4 < 2) for i in range(400))
+    cut = url_rules.url_tokens(url_rules.host_and_path(table)).join(marks, "page_id")
+    mined = url_rules.mine_rules(cut.select("tokens", "unwanted"), 0.001, 0.9).collect()
+    assert sorted((r.rule_tokens, r.key) for r in mined) == [([t], t) for t in ("path=deal", "query=junk", "query=spam")]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
