@@ -7,7 +7,6 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text as X
@@ -55,10 +54,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     events = read_trace(spark, *a.paths, mode="PERMISSIVE", **bounds(spark, a.paths, a.begin, a.end, zone))
     failed = events.where(F.col("_error").isNotNull()).select("_error").take(1)
     valid = events.where(F.col("_error").isNull())
-    order = W.orderBy(*ops.ORDER)
     if not a.quiet:
-        value = "ts_cycles" if a.cycles else "ts_ns"
-        step = X.delta(F.col(value) - F.lag(value).over(order)) if a.delta else None
+        step = None
+        if a.delta:
+            valid = ops.with_delta(valid, value="ts_cycles" if a.cycles else "ts_ns", out="_step")
+            step = X.delta(F.col("_step"))
         line = X.event(valid, a.labels, chosen or None, step, a.cycles, a.date, a.seconds)
         for row in valid.withColumn("_line", line).orderBy(*ops.ORDER).select("_line").toLocalIterator():
             print(row[0], file=out)

@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,19 +72,32 @@ def with_delta(events: DataFrame, order: list[str] | None = None, value: str = "
     order = order or ORDER
     if by:
         return events.withColumn(out, F.col(value) - F.lag(value).over(W.partitionBy(*by).orderBy(*order)))
-    spark = events.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = events.agg(F.min(order[0]).alias("low"), F.max(order[0]).alias("high")).first()
-    if bounds["low"] is None:
-        return events.withColumn(out, F.lit(None).cast("bigint"))
-    width = max(1, (int(bounds["high"]) - int(bounds["low"])) // n + 1)
-    cut = events.withColumn("_range", ((F.col(order[0]) - F.lit(int(bounds["low"]))).cast("double") / width).cast("int"))
+    cut = _in_ranges(events, order[0])
     last = cut.groupBy("_range").agg(F.max_by(value, F.struct(*order)).alias("_last"))  # a row for each of n ranges
     before = last.withColumn("_before", F.lag("_last").over(W.orderBy("_range"))).select("_range", "_before")
     own = F.lag(value).over(W.partitionBy("_range").orderBy(*order))
     return cut.join(F.broadcast(before), "_range").withColumn(out, F.col(value) - F.coalesce(own, F.col("_before"))).drop("_range", "_before")
 
 
+def _in_ranges(events: DataFrame, by: str) -> DataFrame:
+    """Adds _range: as many stretches of a number as there are shuffle partitions, of equal length."""
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = events.agg(F.min(by).alias("low"), F.max(by).alias("high")).first()
+    low, high = (int(x) if x is not None else 0 for x in bounds)
+    width = max(1, (high - low) // n + 1)
+    return events.withColumn("_range", ((F.col(by) - F.lit(low)).cast("double") / width).cast("int"))
+
+
+def with_position(events: DataFrame, order: list[str] | None = None, out: str = "position") -> DataFrame:
+    """Adds each event's place in the total order, from 1: numbered within ranges of time, each behind all events of those before it."""
+    order = order or ORDER
+    cut = _in_ranges(events, order[0])
+    counts = cut.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return cut.join(F.broadcast(before), "_range").withColumn(out, place.cast("bigint")).drop("_range", "_before")
+
+
 def packets(events: DataFrame, keys: list[str]) -> DataFrame:
     """One row per packet: events, and first and last time."""
     return events.groupBy(*keys).agg(F.count("*").alias("n_events"), F.min("ts_ns").alias("begin_ns"), F.max("ts_ns").alias("end_ns"))
@@ -95,10 +109,11 @@ def packets_from(packet_index: DataFrame, ns: int) -> DataFrame:
 
 
 def lost_events(packet_index: DataFrame, by: list[str], order: list[str], snapshot: str = "snapshot") -> DataFrame:
-    """Adds n_lost: by how much the counter of discarded events grew since the packet before (0 if it fell). Empty `by` counts over all streams."""
-    window = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(*order)
-    grown = F.col(snapshot) - F.coalesce(F.lag(snapshot).over(window), F.lit(0))
-    return packet_index.withColumn("n_lost", F.greatest(grown, F.lit(0)))
+    """Adds n_lost: by how much the counter of discarded events grew since the packet before (0 if it fell).
+
+    Empty `by` counts over all streams, in ranges of the first column of order, which must be a number then."""
+    grown = with_delta(packet_index, order, snapshot, by, "_grown")
+    return grown.withColumn("n_lost", F.greatest(F.coalesce("_grown", snapshot), F.lit(0))).drop("_grown")
 
 
 def first_field(*candidates: tuple[bool, Column]) -> Column:
@@ -149,9 +164,39 @@ def unwrap_clock(events: DataFrame, low: str, bits: int, by: list[str], order: l
     return events.withColumn("_fell", fell).withColumn(out, F.col(low) + F.sum("_fell").over(running) * F.lit(1 << bits)).drop("_fell")
 
 
-def label_join(values: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
-    """Rows with every label of a table (label, low, high) whose range holds the value. For mappings too large for literals."""
-    return values.join(F.broadcast(ranges), F.col(value).between(F.col("low"), F.col("high")))
+#: Ranges up to which label_join sends them to every task.
+BROADCAST_RANGES = 10_000
+
+
+def _blocks(batches):
+    """For mapInArrow over (label, low, high): the fewest aligned blocks of 2**level numbers which make up each range."""
+    for batch in batches:
+        label, low, high, level, block = [], [], [], [], []
+        for name, a, b in zip(*(batch.column(c).to_pylist() for c in ("label", "low", "high")), strict=True):
+            at = a
+            while at <= b:
+                k = min((at & -at).bit_length() - 1 if at else 63, (b - at + 1).bit_length() - 1)
+                label.append(name)
+                low.append(a)
+                high.append(b)
+                level.append(k)
+                block.append(at >> k)
+                at += 1 << k
+        yield pa.RecordBatch.from_arrays([pa.array(label, pa.string()), *(pa.array(x, pa.int64()) for x in (low, high, level, block))], names=["label", "low", "high", "level", "block"])
+
+
+def label_join(values: DataFrame, ranges: DataFrame, value: str, most: int = BROADCAST_RANGES) -> DataFrame:
+    """Rows with every label of a table (label, low, high) whose range holds the value. For mappings too large for literals.
+
+    Up to `most` ranges go to every task. More are cut to aligned blocks of powers of two, and values meet the blocks that hold them: an
+    equi-join on (level, block), with one copy of a value for each level there is."""
+    if ranges.limit(most + 1).count() <= most:
+        return values.join(F.broadcast(ranges), F.col(value).between(F.col("low"), F.col("high")))
+    cut = ranges.select("label", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high")).mapInArrow(_blocks, "label string, low long, high long, level long, block long")
+    levels = sorted(r[0] for r in cut.select("level").distinct().collect())  # 64 at most
+    own = F.col(value).cast("long")
+    each = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("level"), F.shiftright(own, k).alias("block")) for k in levels)))
+    return values.withColumn("_at", each).withColumns({"level": F.col("_at.level"), "block": F.col("_at.block")}).drop("_at").join(cut, ["level", "block"]).drop("level", "block")
 
 
 def write_text(events: DataFrame, path: str, **format_options) -> None:

@@ -8,6 +8,8 @@ from typing import Any
 
 from . import classes as c
 from .classes import FieldClass
+from .decoder import member_names
+from .metadata import PACKET_HEADER_BYTES, PACKET_MAGIC, PACKET_VERSION
 
 
 class Bits:
@@ -50,13 +52,16 @@ def leb128(value: int, signed: bool) -> bytes:
 
 
 def encode(bits: Bits, cls: FieldClass, value: Any) -> None:
-    """Appends a value. Structures are dicts by member name; variants are (option index, value); strings get their null character."""
+    """Appends a value. Structures are dicts by member name; variants are (option index, value), or as rows have them: `_tag` and a
+    column for each option; strings get their null character."""
     k = cls.kind
     if k == c.OPTIONAL:
         if value is not None:
             encode(bits, cls.element, value)
         return
     if k == c.VARIANT:
+        if isinstance(value, dict):
+            value = (value["_tag"], value[member_names(cls.options)[value["_tag"]]])
         encode(bits, cls.options[value[0]].cls, value[1])
         return
     bits.align(cls.effective_alignment)
@@ -100,9 +105,14 @@ def structure(*members: dict) -> dict:
     return {"type": c.STRUCTURE, "member-classes": list(members)}
 
 
-def trace_metadata(event_classes: dict[int, tuple[str, dict]], frequency: int = 1_000_000) -> bytes:
-    """Metadata of a trace with packet sizes, sequence numbers, a clock and named event classes (id: name, payload class)."""
-    header = structure(uint("magic", 32, "packet-magic-number"), uint("stream_id", 32, "data-stream-id"))
+def trace_metadata(
+    event_classes: dict[int, tuple[str, dict]], frequency: int = 1_000_000, uuid: bytes | None = None, aliases: dict[str, Any] | None = None, attributes: dict[int, dict] | None = None, **clock
+) -> bytes:
+    """Metadata of a trace with packet sizes, sequence numbers, a clock and named event classes (id: name, payload class).
+
+    aliases are field classes by name, attributes those of event classes by id; further keywords are properties of the clock class."""
+    own = [member("uuid", c.STATIC_BLOB, length=16, roles=["metadata-stream-uuid"])] if uuid else []
+    header = structure(uint("magic", 32, "packet-magic-number"), *own, uint("stream_id", 32, "data-stream-id"))
     context = structure(
         uint("begin", 64, "default-clock-timestamp"),
         uint("end", 64, "packet-end-default-clock-timestamp"),
@@ -113,21 +123,33 @@ def trace_metadata(event_classes: dict[int, tuple[str, dict]], frequency: int =
     )
     record = structure(uint("ts", 64, "default-clock-timestamp"), uint("class", 16, "event-record-class-id"))
     fragments = [
-        {"type": "preamble", "version": 2},
+        {"type": "preamble", "version": 2, **({"uuid": list(uuid)} if uuid else {})},
+        *({"type": "field-class-alias", "name": name, "field-class": cls} for name, cls in (aliases or {}).items()),
         {"type": "trace-class", "packet-header-field-class": header},
-        {"type": "clock-class", "id": "clock", "frequency": frequency, "origin": "unix-epoch"},
+        {"type": "clock-class", "id": "clock", "frequency": frequency, "origin": "unix-epoch"} | clock,
         {"type": "data-stream-class", "id": 0, "default-clock-class-id": "clock", "packet-context-field-class": context, "event-record-header-field-class": record},
-        *({"type": "event-record-class", "id": i, "name": name, "payload-field-class": payload} for i, (name, payload) in event_classes.items()),
+        *({"type": "event-record-class", "id": i, "name": name, "payload-field-class": payload, **({"attributes": attributes[i]} if attributes else {})} for i, (name, payload) in event_classes.items()),
     ]
     return b"".join(b"\x1e" + json.dumps(f).encode() + b"\n" for f in fragments)
 
 
+def metadata_packets(stream: bytes, uuid: bytes, order: str = "<", size: int = 100) -> bytes:
+    """A metadata stream in metadata packets of `size` bytes of it each, so that fragments run over their ends."""
+    out = b""
+    for at in range(0, len(stream), size):
+        part = stream[at : at + size]
+        content = 8 * (PACKET_HEADER_BYTES + len(part))
+        out += struct.pack(f"{order}I16sIIIBBBBB3xI", PACKET_MAGIC, uuid, 0, content, content + 64, 0, 0, 0, *PACKET_VERSION, 8 * PACKET_HEADER_BYTES) + part + bytes(8)
+    return out
+
+
 def encode_packet(catalog, stream_id: int, sequence: int, discarded: int, events: list[tuple[int, int, dict]]) -> bytes:
     """A packet of a `trace_metadata` trace; events are (clock value, event class id, payload)."""
     stream = catalog.streams[0]
     body = Bits()
     head = Bits()
-    encode(head, catalog.packet_header, {"magic": 0xC1FC1FC1, "stream_id": stream_id})
+    header = {"magic": 0xC1FC1FC1, "uuid": catalog.uuid, "stream_id": stream_id}
+    encode(head, catalog.packet_header, header)
     context = {"begin": events[0][0], "end": events[-1][0], "discarded": discarded, "sequence": sequence, "content": 0, "total": 0}
     encode(head, stream.packet_context, context)
     body._grow(head.pos)
@@ -137,7 +159,7 @@ def encode_packet(catalog, stream_id: int, sequence: int, discarded: int, events
     content = body.pos
     body.align(64)
     head = Bits()
-    encode(head, catalog.packet_header, {"magic": 0xC1FC1FC1, "stream_id": stream_id})
+    encode(head, catalog.packet_header, header)
     encode(head, stream.packet_context, context | {"content": content, "total": body.pos})
     body.data[: len(head.data)] = head.data
     return bytes(body.data)

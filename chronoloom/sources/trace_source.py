@@ -227,37 +227,38 @@ def outside(packet: dict, low: int, high: int) -> bool:
     return (end is not None and end < low) or (begin is not None and begin > high)
 
 
+def slices(s: Settings, t: int, directory: str, name: str) -> list[Slice]:
+    """Groups of a file's packets by a walk over headers and contexts. A stream with an error ends in a slice that runs into it."""
+    out: list[Slice] = []
+    decoder = StreamDecoder(s.catalogs[t], mapped(os.path.join(local(directory), name)))
+    group: Slice | None = None
+    size = 0
+    try:
+        for p in decoder.packets():
+            if s.view == "events" and outside(packet_values(t, directory, name, p), s.low, s.high):
+                group = None
+                continue
+            if group is None or size >= s.packet_bytes:
+                group, size = Slice(t, directory, name, p.start, p.index, 0), 0
+                out.append(group)
+            group.count += 1
+            size += (p.total or 0) // 8
+            if p.total is None:
+                group.count = None
+    except TraceError:
+        if group is None:
+            group = Slice(t, directory, name, 0, 0, None)
+            out.append(group)
+        group.count = None
+    return out
+
+
 class TraceReader(DataSourceReader):
     def __init__(self, settings: Settings, schema: T.StructType):
         self.settings, self.schema = settings, schema
 
     def partitions(self):
-        """Groups of packets by a walk over headers and contexts. A stream with an error ends in a slice that runs into it."""
-        out = []
-        for t, directory, name in self.settings.streams():
-            data = mapped(os.path.join(local(directory), name))
-            decoder = StreamDecoder(self.settings.catalogs[t], data)
-            group: Slice | None = None
-            size = 0
-            try:
-                for p in decoder.packets():
-                    skip = self.settings.view == "events" and outside(packet_values(t, directory, name, p), self.settings.low, self.settings.high)
-                    if skip:
-                        group = None
-                        continue
-                    if group is None or size >= self.settings.packet_bytes:
-                        group, size = Slice(t, directory, name, p.start, p.index, 0), 0
-                        out.append(group)
-                    group.count += 1
-                    size += (p.total or 0) // 8
-                    if p.total is None:
-                        group.count = None
-            except TraceError:
-                if group is None:
-                    group = Slice(t, directory, name, 0, 0, None)
-                    out.append(group)
-                group.count = None
-        return out or [InputPartition(None)]
+        return [s for file in self.settings.streams() for s in slices(self.settings, *file)] or [InputPartition(None)]
 
     def read(self, partition):
         if isinstance(partition, Slice):
@@ -339,15 +340,32 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TraceDataSource)
 
 
+#: Bytes of data streams beyond which packets are listed by executors.
+PLAN_BYTES = 8 << 30
+
+
+def _bytes(paths: tuple[str, ...], options: dict) -> int:
+    name = options.get("metadataFile", "metadata")
+    return sum(os.path.getsize(os.path.join(local(p), f)) for p in paths for f in stream_files(p, name))
+
+
 def read_trace(spark: SparkSession, *paths: str, begin_ns: int | None = None, end_ns: int | None = None, **options) -> DataFrame:
     """Events of trace directories, of a time range if one is given.
 
-    The range goes to the source as options, so that packets outside of it are neither decoded nor given a task, and is applied to events
+    planner: `driver` lists packets as the data source is planned, `executors` in a job with a task for each file; left out, the size
+    of the files decides. The range goes to the source as options, so that packets outside of it are neither decoded nor given a task, and is applied to events
     again. It isn't left to filters pushed by Spark: 4.1 keeps what it pushed to a Python source for later queries on the same DataFrame."""
     register(spark)
     bounds = {"beginNs": begin_ns, "endNs": end_ns}
+    planner = options.pop("planner", None)
     given = {k: str(v) for k, v in {**options, **bounds}.items() if v is not None}
-    out = spark.read.format("trace").options(**given).load(json.dumps(list(paths)))
+    if planner == "executors" or (planner is None and options.get("view", "events") == "events" and _bytes(paths, given) > PLAN_BYTES):
+        settings = Settings({**given, "path": json.dumps(list(paths))})
+        found = plan_on_executors(spark, settings)
+        # A round-robin deal keeps a file's slices from being one task.
+        out = decode_slices(found.repartition(max(1, _bytes(paths, given) // settings.packet_bytes + 1)), settings, settings.schema())
+    else:
+        out = spark.read.format("trace").options(**given).load(json.dumps(list(paths)))
     if options.get("view", "events") == "events":
         for bound, test in ((begin_ns, lambda t: t >= begin_ns), (end_ns, lambda t: t <= end_ns)):
             if bound is not None:
@@ -355,6 +373,37 @@ def read_trace(spark: SparkSession, *paths: str, begin_ns: int | None = None, en
     return out
 
 
+_SLICES = "trace int, directory string, file string, start long, index long, count long"
+
+
+def plan_on_executors(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The slices of a trace's files as rows: each file's packet headers are walked by a task of its own, not by the driver."""
+    files = [(t, directory, name) for t, directory, name in settings.streams()]
+    names = spark.createDataFrame(files, "trace int, directory string, file string")
+
+    def walk(batches):
+        for batch in batches:
+            for t, directory, name in zip(*(batch.column(c).to_pylist() for c in ("trace", "directory", "file")), strict=True):
+                found = slices(settings, t, directory, name)
+                rows = [(s.trace, s.directory, s.file, s.start, s.index, s.count) for s in found]
+                kinds = (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["trace", "directory", "file", "start", "index", "count"])
+
+    return names.repartition(max(1, len(files)), "trace", "directory", "file").mapInArrow(walk, _SLICES)
+
+
+def decode_slices(found: DataFrame, settings: Settings, schema: T.StructType) -> DataFrame:
+    """Events of slices, dealt to tasks."""
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                data = mapped(os.path.join(local(row[1]), row[2]))
+                yield from decode_slice(settings, schema, Slice(*row), data)
+
+    return found.mapInArrow(run, schema)
+
+
 def decode_files(files: DataFrame, metadata: bytes, **options) -> DataFrame:
     """Events of in-memory streams: rows (path, content) as binaryFile gives them, all of one trace's metadata."""
     catalog = Catalog.parse(metadata)

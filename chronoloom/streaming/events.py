@@ -46,12 +46,14 @@ def lost_events(packets: DataFrame, key: str = "stream_file") -> DataFrame:
 def pair_intervals(marks: DataFrame, key: str, key_type: str = "long") -> DataFrame:
     """key, state, ns of each closed interval of marks (key, ts_ns, kind, state), with the open one kept as state.
 
-    Within a batch marks are taken in time order; one that comes after a later batch is paired with what is open then."""
+    Within a batch marks are taken in order of time, and of `seq` if they have it; one that comes after a later batch is paired with what is open then."""
+    order = ["ts_ns", *(c for c in ("seq",) if c in marks.columns)]
+
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, start = state.get if state.exists else (None, 0)
         out = []
-        for r in pd.concat(list(frames)).sort_values("ts_ns", kind="stable").itertuples():
+        for r in pd.concat(list(frames)).sort_values(order, kind="stable").itertuples():
             if r.kind == "begin":
                 now, start = r.state, r.ts_ns
             else:
