@@ -78,20 +78,46 @@ def trace_scan(spark, sf_dir):
     return trace(spark, sf_dir).select("event_id", "event_name", "ts_ns", "stream")
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+#: Traces written in this session by tables and name, so that each is written once.
+_KEPT: dict[tuple, str] = {}
+
+
+def new_directory(spark: SparkSession) -> str:
+    """A new folder under the one that driver and executors share; a temporary one only where none is set."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    if base:
+        os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(prefix="trace-", dir=base or None)
+
+
+def kept_trace(spark: SparkSession, sf_dir: str, name: str, write: Callable[[], str]) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT or not os.path.isdir(_KEPT[key]):
+        _KEPT[key] = write()
+    return _KEPT[key]
+
+
+def event_metadata() -> bytes:
+    payload = enc.structure(enc.member("event_id", "fixed-length-signed-integer", length=64, byte_order="little-endian"), enc.uint("user_id", 32), enc.member("value", "fixed-length-floating-point-number", length=64, byte_order="little-endian"), enc.member("props", "null-terminated-string"))
+    return enc.trace_metadata({i: (name, payload) for i, name in enumerate(EVENT_TYPES)})
+
+
 def event_trace(spark: SparkSession, sf_dir: str, per_packet: int = 64) -> str:
     """The events table written as a trace; the directory."""
-    types = ["click", "error", "purchase", "signup", "view"]
-    payload = enc.structure(enc.member("event_id", "fixed-length-signed-integer", length=64, byte_order="little-endian"), enc.uint("user_id", 32), enc.member("value", "fixed-length-floating-point-number", length=64, byte_order="little-endian"), enc.member("props", "null-terminated-string"))
-    metadata = enc.trace_metadata({i: (name, payload) for i, name in enumerate(types)})
-    number = F.array_position(F.lit(types), F.col("event_name")) - 1
+    return kept_trace(spark, sf_dir, f"events {per_packet}", lambda: _write_events(spark, sf_dir, per_packet))
+
+
+def _write_events(spark: SparkSession, sf_dir: str, per_packet: int) -> str:
+    metadata = event_metadata()
+    number = F.array_position(F.lit(EVENT_TYPES), F.col("event_name")) - 1
     seq = F.row_number().over(W.partitionBy("stream").orderBy("ts_ns", "event_id")) - 1
     rows = trace(spark, sf_dir).select("stream", seq.cast("long").alias("seq"), F.expr("ts_ns div 1000").alias("cycles"), number.alias("class_id"), F.col("event_id").alias("snapshot"), "event_id", "user_id", "value", "props")
-    return _written(spark, rows, metadata, ["event_id", "user_id", "value", "props"], per_packet)
+    return written(spark, rows, metadata, ["event_id", "user_id", "value", "props"], per_packet)
 
 
-def _written(spark, rows, metadata, payload, per_packet=64) -> str:
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
-    directory = tempfile.mkdtemp(prefix="trace-", dir=base if base and os.path.isdir(base) else None)
+def written(spark, rows, metadata, payload, per_packet=64) -> str:
+    directory = new_directory(spark)
     write_trace(rows, directory, metadata, payload, per_packet)
     return directory
 
@@ -104,7 +130,7 @@ def ctf_roundtrip(spark, sf_dir):
 
 @query(
     "ctf_roundtrip_lineitem",
-    "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, CAST(epoch_us(l_shipdate) AS BIGINT) * 1000 AS ts_ns FROM lineitem WHERE l_orderkey % 16 = 0",
+    "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_returnflag, CAST(epoch_us(l_shipdate) AS BIGINT) * 1000 AS ts_ns FROM lineitem",
 )
 def ctf_roundtrip_lineitem(spark, sf_dir):
     payload = enc.structure(
@@ -119,7 +145,8 @@ def ctf_roundtrip_lineitem(spark, sf_dir):
     )
     rows = rows.withColumn("seq", F.row_number().over(W.partitionBy("stream").orderBy("cycles", "l_orderkey", "l_linenumber")).cast("long") - 1)
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"]
-    events = read_trace(spark, _written(spark, rows, enc.trace_metadata({0: ("item", payload)}), columns))
+    metadata = enc.trace_metadata({0: ("item", payload)})
+    events = read_trace(spark, kept_trace(spark, sf_dir, "lineitem", lambda: written(spark, rows, metadata, columns, 512)))
     p = F.col("payload")
     return events.select(
         p["l_orderkey"].cast("bigint").alias("l_orderkey"), p["l_partkey"].alias("l_partkey"), p["l_linenumber"].cast("int").alias("l_linenumber"),
@@ -133,14 +160,7 @@ def time_range_counts(spark, sf_dir):
     return ops.count_by_name(read_trace(spark, event_trace(spark, sf_dir), begin_ns=BEGIN, end_ns=END))
 
 
-@query("multi_dir_union", _TR + "SELECT event_id, ts_ns, CAST(stream % 2 AS INTEGER) AS trace_idx FROM tr")
-def multi_dir_union(spark, sf_dir):
-    tr = trace(spark, sf_dir)
-    parts = [tr.where(F.col("stream") % 2 == i).select("event_id", "ts_ns", F.lit(i).alias("trace_idx")) for i in (0, 1)]
-    return ops.mux(*parts, sort=False)
-
-
-@query("file_discovery")
+@query("file_discovery", _TR + "SELECT DISTINCT 'stream_' || stream AS stream_file FROM tr")
 def file_discovery(spark, sf_dir):
     return read_trace(spark, event_trace(spark, sf_dir), view="packets").select("stream_file").distinct()
 
@@ -155,8 +175,8 @@ def trace_packets(spark, sf_dir):
 @query("mux_order", _TR + "SELECT event_id, stream, row_number() OVER (ORDER BY ts_ns, event_id) AS position FROM tr")
 def mux_order(spark, sf_dir):
     tr = trace(spark, sf_dir)
-    merged = ops.mux(*(tr.where(F.col("stream") == i) for i in range(4)), order=ORDER)
-    return merged.select("event_id", "stream", F.row_number().over(W.orderBy(*ORDER)).cast("bigint").alias("position"))
+    merged = ops.mux(*(tr.where(F.col("stream") == i) for i in range(4)), sort=False)
+    return ops.with_position(merged, ORDER).select("event_id", "stream", "position")
 
 
 @query("seek_from", _TR + f"SELECT event_id, ts_ns FROM tr WHERE ts_ns >= {END}")
@@ -251,11 +271,6 @@ def lost_events_global(spark, sf_dir):
     return ops.lost_events(packet_index(spark, sf_dir), [], ["begin_ns", "stream", "packet"]).select("stream", "packet", "n_lost")
 
 
-@query("event_count", _TR + "SELECT count(*) AS n_events FROM tr")
-def event_count(spark, sf_dir):
-    return ops.count_events(trace(spark, sf_dir))
-
-
 @query("count_by_name", _TR + "SELECT coalesce(nullif(event_name, 'view'), 'UNNAMED EVENT') AS event_name, count(*) AS n_events FROM tr GROUP BY 1")
 def count_by_name(spark, sf_dir):
     return ops.count_by_name(trace(spark, sf_dir).withColumn("event_name", F.expr("nullif(event_name, 'view')")))
@@ -297,7 +312,7 @@ def coerce_uint(spark, sf_dir):
     return c.select("c_custkey", N.to_uint(F.round("c_acctbal").cast("bigint"), "signed int").cast("string").alias("from_int"), N.to_uint(F.col("c_name"), "string").cast("string").alias("from_text"))
 
 
-@query("coerce_int", "SELECT c_custkey, CAST(least(CAST(c_custkey AS DECIMAL(20,0)) * 1000000000000000000, 9223372036854775807) AS BIGINT) AS from_uint, 9223372036854775807 AS from_text FROM customer WHERE c_custkey < 18")
+@query("coerce_int", "SELECT c_custkey, CAST(least(CAST(c_custkey % 18 AS DECIMAL(20,0)) * 1000000000000000000, 9223372036854775807) AS BIGINT) AS from_uint, 9223372036854775807 AS from_text FROM customer")
 def coerce_int(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     # Up to 17 * 10^18, which 64 bits hold for every key.
@@ -486,73 +501,22 @@ def parse_ts_seconds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.parse_timestamp_column(text).alias("ns"))
 
 
-@query("optional_field", f"SELECT l_orderkey, l_linenumber, CASE WHEN q BETWEEN 1 AND 10 OR q BETWEEN 20 AND 30 THEN q END AS v FROM {_QUANTITY}")
-def optional_field(spark, sf_dir):
-    q = F.col("l_quantity").cast("bigint")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(N.in_ranges(q, [(1, 10), (20, 30)]), q).alias("v"))
-
-
-@query("variant_field", f"SELECT l_orderkey, l_linenumber, CASE WHEN q <= 10 THEN 'small ' || q WHEN q <= 30 THEN 'medium' ELSE 'large' END AS v FROM {_QUANTITY}")
-def variant_field(spark, sf_dir):
-    q = F.col("l_quantity").cast("bigint")
-    chosen = F.when(N.in_ranges(q, [(-5, 10)]), F.concat(F.lit("small "), q.cast("string"))).when(N.in_ranges(q, [(11, 30)]), "medium").otherwise("large")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", chosen.alias("v"))
-
-
-@query("dyn_array", "SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, p_size % 3 + 1), ',') AS v FROM part")
-def dyn_array(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.split("p_name", " "), F.lit(1), F.col("p_size") % 3 + 1), ",").alias("v"))
-
-
-@query("static_array", "SELECT p_partkey, array_to_string(list_slice(string_split(p_name, ' '), 1, 2), ',') AS v FROM part")
-def static_array(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.split("p_name", " "), 1, 2), ",").alias("v"))
-
-
-@query("dyn_string", "SELECT p_partkey, substr(p_name, 1, p_size) AS v FROM part")
-def dyn_string(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.substr(F.col("p_name"), F.lit(1), F.col("p_size")).alias("v"))
-
-
-@query("json_attributes", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def json_attributes(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
 _CLASSES = "(SELECT event_type AS event_name, row_number() OVER (ORDER BY event_type) - 1 AS event_class_id FROM (SELECT DISTINCT event_type FROM events))"
 
 
 @query("catalog_events", f"SELECT event_name, event_class_id FROM {_CLASSES}")
 def catalog_events(spark, sf_dir):
     from .plans.catalog import catalog_rows
-    from .sources.trace_source import load_catalog
+    from .sources.metadata import Catalog
 
-    schema, rows = catalog_rows(load_catalog(event_trace(spark, sf_dir)))["event_classes"]
+    schema, rows = catalog_rows(Catalog.parse(event_metadata()))["event_classes"]
     return spark.createDataFrame(rows, schema).select(F.col("name").alias("event_name"), F.col("id").cast("bigint").alias("event_class_id"))
 
 
 @query("catalog_lookup_join", f"SELECT event_id, event_class_id FROM events JOIN {_CLASSES} c ON c.event_name = event_type")
 def catalog_lookup_join(spark, sf_dir):
     classes = catalog_events(spark, sf_dir)
-    return trace(spark, sf_dir).join(F.broadcast(classes), "event_name").select("event_id", "event_class_id")
-
-
-_CLOCKS = [("a", None, "mono", "u1", 1000, 5), ("b", None, "mono", "u1", 1000, None), ("c", "ns", "mono", "u1", 2000, 5), ("d", "ns", "mono", "u1", 2000, 5)]
-
-
-@query(
-    "clock_identity",
-    "WITH c(id, namespace, name, uid, frequency, precision) AS (VALUES ('a', NULL, 'mono', 'u1', 1000, 5), ('b', NULL, 'mono', 'u1', 1000, NULL), ('c', 'ns', 'mono', 'u1', 2000, 5), ('d', 'ns', 'mono', 'u1', 2000, 5)) "
-    "SELECT x.id AS one, y.id AS other, x.frequency IS NOT DISTINCT FROM y.frequency AND x.precision IS NOT DISTINCT FROM y.precision AS strict FROM c x JOIN c y "
-    "ON x.namespace IS NOT DISTINCT FROM y.namespace AND x.name IS NOT DISTINCT FROM y.name AND x.uid IS NOT DISTINCT FROM y.uid WHERE x.id < y.id",
-)
-def clock_identity(spark, sf_dir):
-    c = spark.createDataFrame(_CLOCKS, "id string, namespace string, name string, uid string, frequency long, precision long")
-    x, y = c.alias("x"), c.alias("y")
-    same = lambda k: F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
-    return x.join(y, same("namespace") & same("name") & same("uid") & (F.col("x.id") < F.col("y.id"))).select(
-        F.col("x.id").alias("one"), F.col("y.id").alias("other"), (same("frequency") & same("precision")).alias("strict")
-    )
+    return trace(spark, sf_dir).join(classes, "event_name").select("event_id", "event_class_id")
 
 
 @query("saturating_add", f"SELECT event_id, CAST(least(CAST(event_id AS HUGEINT) + {_U64}::HUGEINT - 100, {_U64}::HUGEINT) AS VARCHAR) AS v FROM events")
@@ -561,6 +525,4 @@ def saturating_add(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", N.saturating_add(F.col("event_id"), near).cast("string").alias("v"))
 
 
-@query("windowed_counts", _TR + "SELECT event_name, ts_ns // 86400000000000 AS day, count(*) AS n_events FROM tr GROUP BY ALL")
-def windowed_counts(spark, sf_dir):
-    return trace(spark, sf_dir).groupBy("event_name", F.expr("ts_ns div 86400000000000").alias("day")).agg(F.count("*").alias("n_events"))
+from . import decoded_queries  # noqa: E402, F401  (registers its queries)

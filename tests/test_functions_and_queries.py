@@ -109,3 +109,24 @@ def test_int_coercion_covers_every_customer(spark):
     keys = [r.c_custkey for r in queries.table(spark, DATA, "customer").select("c_custkey").collect()]
     got = [tuple(r) for r in queries.QUERIES["coerce_int"](spark, DATA).select("c_custkey", "from_uint", "from_text").collect()]
     assert sorted(got) == sorted((k, min(k % 18 * 10**18, 2**63 - 1), 2**63 - 1) for k in keys) and max(keys) > 18
+
+
+def test_positions_and_losses_over_all_streams(spark):
+    from chronoloom.operators import events as ops
+
+    rows = [(t, s, 10 * i) for i, (t, s) in enumerate([(5, 0), (5, 1), (9, 0), (40, 1), (41, 1)])]
+    frame = spark.createDataFrame(rows, "t long, s int, snapshot long")
+    assert [r.position for r in ops.with_position(frame, ["t", "s"]).orderBy("t", "s").collect()] == [1, 2, 3, 4, 5]
+    assert [r.n_lost for r in ops.lost_events(frame, [], ["t", "s"]).orderBy("t", "s").collect()] == [0, 10, 10, 10, 10]
+    assert ops.with_position(frame.limit(0), ["t", "s"]).count() == 0 and ops.lost_events(frame.limit(0), [], ["t", "s"]).count() == 0
+
+
+def test_many_ranges_meet_values_by_blocks(spark):
+    from chronoloom.operators import events as ops
+
+    ranges = [("a", -7, 12), ("b", 0, 0), ("c", 3, 3), ("d", -(2**40), 2**40), ("e", 5, 4), ("f", 2**62, 2**63 - 1)]
+    values = [-8, -7, 0, 3, 12, 13, 2**40, 2**62, 2**63 - 1, -(2**63)]
+    cut = spark.createDataFrame(ranges, "label string, low long, high long")
+    frame = spark.createDataFrame([(v,) for v in values], "v long")
+    found = {(r.v, r.label) for r in ops.label_join(frame, cut, "v", most=2).collect()}
+    assert found == {(v, n) for v in values for n, a, b in ranges if a <= v <= b} == {(r.v, r.label) for r in ops.label_join(frame, cut, "v").collect()}
