@@ -15,10 +15,13 @@ are frequent in a sample were left out, which takes nothing from the bound), the
 One of the steps always holds, so no similar pair is missed, whatever the sample. Sets of up to 24 shingles, and what may be
 similar to them, are signed by their smallest shingles.
 
-Sets that share a signature are linked to the smallest of them. A link is ruled out by sketches (parity bits, of which two
+Signatures go to buckets as packed bytes, each set's of a slice together, and are sorted there in numpy, a bounded number at a time.
+Sets that share a signature are linked to one of them, the first met. Signatures that many sets of a sample share skip the buckets: a set
+of the sample is what all others are linked to, wherever they are. A link is ruled out by sketches (parity bits, of which two
 similar sets can differ in few) or else checked on the whole sets. What fails is held against the other sets which met the same one,
-in blocks and by sketches first, unless they are in one component already. Equal sets are one from the start; pairs within a
-group are never listed.
+in blocks and by sketches first, unless they are in one component already; each asks for few partners at first and for
+more in later rounds, so that sets which are linked by a few links are not asked for all of them. Equal sets are one from the start;
+pairs within a group are never listed.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a text with fewer words than the width has one
 shingle of all of them. Repeated rows and repeated doc_ids are rows of their own; component_id is the smallest doc_id of the
@@ -27,18 +30,15 @@ component (null only if all are null). An empty table gives an empty result. Col
 
 from __future__ import annotations
 
-import gc
-import time
 from collections import OrderedDict
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, partitions, row_slices, text_buffer
+from .common import free_name, map_arrow, materialize, partitions, row_slices, text_buffer
 from .components import components
 from .words import SPACE_SEPARATORS, as_signed, mix, shingles, words
 
@@ -52,6 +52,11 @@ _SLICE = 1 << 20
 FREQUENT_SHINGLES = 200_000
 SAMPLE_TEXTS = 4000
 _BLOCK = 400  # sets of a block in the last check
+#: Signatures that a bucket holds on average, and how many are sorted at once.
+BUCKET_SIGNATURES, _AT_ONCE = 4_000_000, 4_000_000
+#: A signature that so many sets of the sample share is not sent to a bucket.
+HOT_SETS = 100
+_MEMBERS = 1000  # sets checked against one in a block
 
 
 def row_shingles(raw: np.ndarray, offsets: np.ndarray, width: int = WIDTH):
@@ -188,10 +193,10 @@ def signatures(s: np.ndarray, row: np.ndarray, sizes: np.ndarray, frequent: np.n
 
 
 def sketches(s: np.ndarray, row: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity bits of each row's set: four bits or more for a shingle, each flipped once for every shingle that falls on it.
+    """Parity bits of each row's set: two bits or more for a shingle, each flipped once for every shingle that falls on it.
 
     Two sets differ in at least as many elements as their sketches do in bits, so a sketch can rule a pair out and never in error."""
-    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
     start = np.concatenate(([0], np.cumsum(bits)))
     at = start[row] + (s & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -242,14 +247,55 @@ def _describe(width: int):
 
 def signature_bits(n_docs: int) -> int:
     """Bits of a signature that keep chance meetings, which cost a check each, far below the documents in number."""
-    return min(63, max(32, n_docs.bit_length() + 22))
-
-
-def _sign(frequent, width: int, bits: int):
-    """For mapInArrow: (sig, set_id) of each distinct set that the task meets."""
+    return min(63, max(32, n_docs.bit_length() + 19))
+
+
+def _quotient_bytes(bits: int, buckets: int) -> int:
+    return max(1, -(-(((1 << bits) - 1) // buckets).bit_length() // 8))
+
+
+def packed(sig: np.ndarray, ids: np.ndarray, row: np.ndarray, bits: int, buckets: int):
+    """(bucket, bytes) of signatures of some bits: sets' ids, how many of its signatures follow each (255 at most), and the signatures.
+
+    A signature's bucket is its remainder, so only its quotient is sent."""
+    if not len(sig):
+        return
+    size = _quotient_bytes(bits, buckets)
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((row, bucket))
+    sig, row, bucket = sig[order] // np.uint64(buckets), row[order], bucket[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1]))
+    starts = np.flatnonzero(new)
+    place = np.arange(len(sig)) - np.repeat(starts, np.diff(np.append(starts, len(sig))))
+    heads = np.flatnonzero(place % 255 == 0)
+    counts = np.diff(np.append(heads, len(sig)))
+    body = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
+    head = np.concatenate([ids[row[heads]].astype("<u8").view(np.uint8).reshape(-1, 8), counts.astype(np.uint8).reshape(-1, 1)], axis=1)
+    of_bucket = np.flatnonzero(np.append(True, np.diff(bucket[heads]) != 0))
+    ends = np.append(of_bucket[1:], len(heads))
+    for a, b in zip(of_bucket.tolist(), ends.tolist(), strict=True):
+        lo, hi = heads[a], heads[b] if b < len(heads) else len(sig)
+        # Heads first, then all signatures, each part in order of sets.
+        yield int(bucket[lo]), np.uint32(b - a).tobytes() + head[a:b].tobytes() + body[lo:hi].tobytes()
+
+
+def unpacked(data: bytes, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quotients of signatures, and the set ids that they belong to."""
+    size, n = _quotient_bytes(bits, buckets), int(np.frombuffer(data, "<u4", 1)[0])
+    head = np.frombuffer(data, np.uint8, 9 * n, 4).reshape(n, 9)
+    ids, counts = head[:, :8].copy().view("<u8").ravel(), head[:, 8]
+    raw = np.frombuffer(data, np.uint8, offset=4 + 9 * n).reshape(-1, size)
+    sig = np.zeros((len(raw), 8), np.uint8)
+    sig[:, :size] = raw
+    return sig.view("<u8").ravel(), np.repeat(ids, counts)
+
+
+def _sign(frequent, width: int, bits: int, buckets: int, hot=None):
+    """For mapInArrow: packed signatures of each distinct set that the task meets, by bucket; links (x, rep) of hot ones."""
 
     def run(batches):
         common, seen = frequent.value, OrderedDict()
+        hot_sig, hot_rep = hot or (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
             for a, b in row_slices(offsets, _SLICE):
@@ -265,32 +311,85 @@ def _sign(frequent, width: int, bits: int):
                 pick = fresh[row]
                 sig, r = signatures(s[pick], row[pick], np.where(fresh, sizes, 0), common)
                 sig = sig >> np.uint64(64 - bits)
-                for i in range(0, len(sig), 1 << 17):
-                    yield pa.RecordBatch.from_pydict({"sig": as_signed(sig[i : i + (1 << 17)]), "set_id": as_signed(ids[r[i : i + (1 << 17)]])})
+                if len(hot_sig):
+                    at = np.minimum(np.searchsorted(hot_sig, sig), len(hot_sig) - 1)
+                    known = hot_sig[at] == sig
+                    x, rep = ids[r[known]], hot_rep[at[known]]
+                    pair, n = np.unique(np.stack([x, rep], axis=1)[x != rep], axis=0, return_counts=True)
+                    if len(pair):
+                        yield _rows(x=as_signed(pair[:, 0].copy()), rep=as_signed(pair[:, 1].copy()), n=n)
+                    sig, r = sig[~known], r[~known]
+                sent = list(packed(sig, ids, r, bits, buckets))
+                for i in range(0, len(sent), 256):
+                    yield _rows(bucket=[k for k, _ in sent[i : i + 256]], data=[x for _, x in sent[i : i + 256]])
 
     return run
 
 
-def _stars(batches):
-    """For mapInArrow over rows sorted by sig: links of the sets of a signature to the smallest one met first, with how often."""
-    last_sig, last_rep = None, None
-    for batch in batches:
-        sig, ids = batch.column("sig").to_numpy(), batch.column("set_id").to_numpy()
-        if not len(sig):
-            continue
-        head = np.ones(len(sig), bool)
-        head[1:] = sig[1:] != sig[:-1]
-        at = np.flatnonzero(head)
-        rep = np.minimum.reduceat(ids, at)
-        if last_sig is not None and sig[0] == last_sig:
-            rep[0] = last_rep
-        last_sig, last_rep = sig[-1], rep[-1]
+_PACKED = "bucket long, data binary, x long, rep long, n long"
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int64(), "data": pa.binary(), "x": pa.int64(), "rep": pa.int64(), "n": pa.int64()}
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+
+
+def _stars(bits: int, buckets: int):
+    """For mapInArrow over packed signatures in order of bucket: links of the sets of a signature to one of them, with how often.
+
+    Signatures are sorted _AT_ONCE at a time. Of what is done with, each signature's set to link to is kept: a bucket's
+    different signatures, however many sets share one."""
+
+    def met(sig, ids, known, reps):
+        """Links of some signatures; the signatures known from now on and the sets that stand for them."""
+        order = np.argsort(sig)
+        sig, ids = sig[order], ids[order]
+        at = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+        own, rep = sig[at], np.minimum.reduceat(ids, at)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            there = known[place] == own
+            rep = np.where(there, reps[place], rep)
+            new = ~there
+            both = np.concatenate((known, own[new]))
+            sort = np.argsort(both, kind="stable")
+            known, reps = both[sort], np.concatenate((reps, rep[new]))[sort]
+        else:
+            known, reps = own, rep
         of = np.repeat(rep, np.diff(np.append(at, len(sig))))
         far = ids != of
-        if far.any():
-            pair = np.stack([ids[far], of[far]], axis=1)
-            pair, n = np.unique(pair, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"x": pair[:, 0].copy(), "rep": pair[:, 1].copy(), "n": n})
+        pair, n = np.unique(np.stack([ids[far], of[far]], axis=1), axis=0, return_counts=True)
+        return _links(pair, n), known, reps
+
+    def run(batches):
+        none = np.zeros(0, np.uint64)
+        now, held, size, known, reps = None, [], 0, none, none
+        for batch in batches:
+            linked = batch.filter(batch.column("bucket").is_null()).select(["x", "rep", "n"])
+            if linked.num_rows:
+                yield linked
+            batch = batch.filter(batch.column("bucket").is_valid())
+            places, data = batch.column("bucket"), batch.column("data")
+            for i in range(batch.num_rows):
+                bucket = places[i].as_py()
+                if bucket != now or size >= _AT_ONCE:
+                    if held:
+                        out, known, reps = met(*(np.concatenate(x) for x in zip(*held, strict=True)), known, reps)
+                        yield out
+                    held, size = [], 0
+                    if bucket != now:
+                        now, known, reps = bucket, none, none
+                held.append(unpacked(data[i].as_py(), bits, buckets))
+                size += len(held[-1][0])
+        if held:
+            yield met(*(np.concatenate(x) for x in zip(*held, strict=True)), known, reps)[0]
+
+    return run
+
+
+def _links(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"x": as_signed(pair[:, 0].copy()), "rep": as_signed(pair[:, 1].copy()), "n": n})
 
 
 def _single(column, width: int) -> np.ndarray:
@@ -349,20 +448,23 @@ def _half(m: np.ndarray) -> np.ndarray:
     return (m >> np.uint64(32)) ^ (m & np.uint64(0xFFFFFFFF))
 
 
-def open_pairs(failed: list[tuple], others: list[tuple]):
-    """Pairs (id, id) of two lists of (id, label, n, sketch, failed) with other labels that sizes and sketches leave open.
+def open_pairs(failed: list[tuple], others: list[tuple], most: int):
+    """Pairs (id, id) of failed sets (id, label, n, sketch, failed, upto) and others with other labels that sizes and sketches leave open.
 
-    Of two sets that both failed only one asks for the other."""
+    Each failed set asks for the `most` smallest others beyond upto. Of two sets that both failed only one asks for the other."""
     by_size: dict[int, list[tuple]] = {}
     for r in others:
         by_size.setdefault(len(r[3]), []).append(r)
     ready = {k: (*(np.array([r[i] for r in v]) for i in (0, 1, 2, 4)), _matrix(v)) for k, v in by_size.items()}
-    for x, label, n, sketch, _ in failed:
-        mine = _matrix([(0, 0, 0, sketch)])
+    for x, label, n, sketch, _, upto in failed:
+        mine, found = _matrix([(0, 0, 0, sketch)]), []
         for size in (len(sketch) // 2, len(sketch), 2 * len(sketch)):
             if size in ready:
                 ids, labels, sizes, both, m = ready[size]
-                fits = np.flatnonzero((labels != label) & (~both | (ids > x)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n)))
+                fits = (labels != label) & (~both | (ids > x)) & (4 * np.minimum(sizes, n) >= 3 * np.maximum(sizes, n))
+                if upto is not None:
+                    fits &= ids > upto
+                fits = np.flatnonzero(fits)
                 if len(fits):
                     a, b = mine, m[fits]
                     if size < len(sketch):
@@ -370,27 +472,33 @@ def open_pairs(failed: list[tuple], others: list[tuple]):
                     elif size > len(sketch):
                         b = _half(b)
                     far = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-                    for y in ids[fits[far <= may_differ(sizes[fits], n)]].tolist():
-                        yield x, y
+                    found += ids[fits[far <= may_differ(sizes[fits], n)]].tolist()
+        for y in sorted(found)[:most]:
+            yield x, y
 
 
-def _check_blocks(batches):
+def _check_blocks(most: int):
     """For mapInArrow over sketches of block pairs: pairs of failed sets (role 0) and others (role 1) that stay open."""
 
-    def found(failed, others):
-        pairs = list(open_pairs(failed, others))
-        return pa.RecordBatch.from_pydict({"x": pa.array([p[0] for p in pairs], pa.int64()), "rep": pa.array([p[1] for p in pairs], pa.int64())})
+    def found(at, failed, others):
+        pairs = list(open_pairs(failed, others, most))
+        return pa.RecordBatch.from_pydict(
+            {"met": pa.array([at[0]] * len(pairs), pa.int64()), "j": pa.array([at[2]] * len(pairs), pa.int32()), "x": pa.array([p[0] for p in pairs], pa.int64()), "rep": pa.array([p[1] for p in pairs], pa.int64())}
+        )
 
-    now, failed, others = None, [], []
-    for batch in batches:
-        for rep, i, j, role, *row in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "n", "sketch", "failed")), strict=True):
-            if (rep, i, j) != now:
-                if failed and others:
-                    yield found(failed, others)
-                now, failed, others = (rep, i, j), [], []
-            (failed if role == 0 else others).append(tuple(row))
-    if failed and others:
-        yield found(failed, others)
+    def run(batches):
+        now, failed, others = None, [], []
+        for batch in batches:
+            for rep, i, j, role, *row in zip(*(batch.column(c).to_pylist() for c in ("rep", "i", "j", "role", "id", "label", "n", "sketch", "failed", "upto")), strict=True):
+                if (rep, i, j) != now:
+                    if failed and others:
+                        yield found(now, failed, others)
+                    now, failed, others = (rep, i, j), [], []
+                (failed if role == 0 else others).append(tuple(row))
+        if failed and others:
+            yield found(now, failed, others)
+
+    return run
 
 
 def _key() -> Column:
@@ -426,10 +534,45 @@ def _relabel(frame: DataFrame, labels: DataFrame, node: str, out: str) -> DataFr
     return frame.join(labels.select(F.col("node").alias(node), F.col("label").alias("_l")), node, "left").withColumn(out, F.coalesce("_l", node)).drop("_l")
 
 
+def hot_signatures(docs: DataFrame, n: int, frequent, width: int, bits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Signatures that HOT_SETS sets or more of the sample share, and the set of each that all others are linked to."""
+    stride = max(1, n // SAMPLE_TEXTS)
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(stride)) == 0)
+
+    def spread(batches):
+        for batch in batches:
+            for data in batch.column("data").drop_null():
+                sig, ids = unpacked(data.as_py(), bits, 1)
+                yield pa.RecordBatch.from_pydict({"sig": as_signed(sig.astype(np.uint64)), "set_id": as_signed(ids.astype(np.uint64))})
+
+    found = (
+        sample.transform(map_arrow, _sign(frequent, width, bits, 1), _PACKED)
+        .transform(map_arrow, spread, "sig long, set_id long")
+        .distinct()
+        .groupBy("sig")
+        .agg(F.count("*").alias("n"), F.min("set_id").alias("rep"))
+        .where(F.col("n") >= HOT_SETS)
+        .orderBy(F.desc("n"), "sig")
+        .limit(FREQUENT_SHINGLES)
+        .toArrow()
+    )
+    if not len(found):
+        return None
+    sig, rep = (found.column(c).to_numpy().view(np.uint64) for c in ("sig", "rep"))
+    order = np.argsort(sig)
+    return sig[order], rep[order]
+
+
+def _counted(frame: DataFrame, by: str, name: str, least: int = 1) -> DataFrame:
+    """frame with the number of its rows of the same `by`, if more than least; counted in parts, so that no value of it is one task's alone."""
+    counts = frame.groupBy(by).agg(F.count("*").cast("int").alias(name)).where(F.col(name) > least)
+    return frame.join(counts, by, "left").withColumn(name, F.coalesce(name, F.lit(least)))
+
+
 def _verify(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """x, rep, ok of links (x, rep). A rep with many links is sent to one block for each thousand."""
+    """x, rep, ok of links (x, rep). A rep with many links is sent to one block for each _MEMBERS."""
     n = partitions(links.sparkSession)
-    sized = links.withColumn("blocks", F.ceil(F.count("*").over(W.partitionBy("rep")) / 1000).cast("int"))
+    sized = _counted(links, "rep", "blocks", _MEMBERS).withColumn("blocks", F.ceil(F.col("blocks") / _MEMBERS).cast("int"))
     members = sized.select("rep", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), F.col("x").alias("id"))
     heads = sized.select("rep", "blocks").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("id"))
     sent = members.unionAll(heads).join(texts.withColumnRenamed("set_id", "id"), "id")
@@ -441,20 +584,32 @@ def _verify(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _open_rest(links: DataFrame, failed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (x, rep) still open between sets that failed against a rep and all other sets that met it, in blocks of both."""
-    n = partitions(links.sparkSession)
-    reps = failed.groupBy("rep").agg(F.count("*").alias("n_failed"))
-    met = links.select("rep", "x").join(reps, "rep").withColumn("n_met", F.count("*").over(W.partitionBy("rep")))
-    met = _relabel(met, labels, "x", "label").join(sets.withColumnRenamed("set_id", "x"), "x")
+def _met(links: DataFrame, failed: DataFrame, sets: DataFrame) -> DataFrame:
+    """All sets that met a rep which some failed against: rep, x, n_failed, n_met, failed, n and sketch."""
+    reps = failed.groupBy("rep").agg(F.count("*").cast("int").alias("n_failed"))
+    met = _counted(links.select("rep", "x").join(reps, "rep"), "rep", "n_met")
+    met = met.join(failed.select("rep", "x", F.lit(True).alias("failed")), ["rep", "x"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return materialize(met.join(sets.withColumnRenamed("set_id", "x"), "x"), "met")
+
+
+def _open_rest(met: DataFrame, labels: DataFrame, asked: DataFrame | None, most: int) -> DataFrame:
+    """(met, j, x, rep): pairs (x, rep) still open between sets that failed against `met` and all other sets that met it.
+
+    asked: met, j, x, upto of what earlier rounds have asked for; only these go on then."""
+    n = partitions(met.sparkSession)
+    if asked is not None:
+        met = met.join(asked.select(F.col("met").alias("rep")).distinct(), "rep", "left_semi")
+    met = _relabel(met, labels, "x", "label")
     i_blocks, j_blocks = F.ceil(F.col("n_failed") / _BLOCK).cast("int"), F.ceil(F.col("n_met") / _BLOCK).cast("int")
     spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
     block = lambda k: F.pmod(F.xxhash64("x"), k).cast("int")
-    met = met.join(failed.select("rep", "x", F.lit(True).alias("failed")), ["rep", "x"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     what = [F.col("x").alias("id"), "label", "n", "sketch", "failed"]
-    one = met.where("failed").select("rep", block(i_blocks).alias("i"), spread(j_blocks).alias("j"), F.lit(0).alias("role"), *what)
-    other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what)
-    return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").transform(map_arrow, _check_blocks, "x long, rep long")
+    nobody = F.lit(None).cast("long").alias("upto")
+    one = met.where("failed").withColumns({"i": block(i_blocks), "j": spread(j_blocks)})
+    one = one.withColumn("upto", nobody) if asked is None else one.join(asked.withColumnRenamed("met", "rep"), ["rep", "j", "x"])
+    one = one.select("rep", "i", "j", F.lit(0).alias("role"), *what, "upto")
+    other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what, nobody)
+    return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").transform(map_arrow, _check_blocks(most), "met long, j int, x long, rep long")
 
 
 def _texts(keyed: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -466,17 +621,7 @@ def _texts(keyed: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = keyed.select("key", "text").join(one, "key").select("set_id", "text")
     if not one.where("copies > 1").isEmpty():
         texts = texts.dropDuplicates(["set_id"])
-    out = materialize(texts, "texts")
-    _release(keyed.sparkSession)
-    return out
-
-
-def _release(spark) -> None:
-    """Lets Spark drop the shuffle files of what has been written: its cleaner follows the driver's garbage collection."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    return materialize(texts, "texts")
 
 
 def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -485,19 +630,22 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
     n = partitions(spark)
     keyed = docs.select("doc_id", _key().alias("key"), "text")
     rows = materialize(keyed.transform(map_arrow, _describe(width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, n_shingles long, set_id long, sketch binary"), "rows")
-    n_docs = rows.count()
+    n_docs, n_shingles = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bits, buckets = signature_bits(n_docs), max(n, -(-int(n_shingles) // BUCKET_SIGNATURES))  # a set has fewer signatures than shingles
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, n_docs, width))
+    hot = hot_signatures(docs, n_docs, frequent, width, bits)
+    # Rows without a bucket are links already; they are dealt out by set.
+    deal = F.pmod(F.coalesce("bucket", "x"), F.lit(n)).cast("int")
     links = materialize(
         docs.select("text")
-        .transform(map_arrow, _sign(frequent, width, signature_bits(n_docs)), "sig long, set_id long")
-        .repartition(n, "sig")
-        .sortWithinPartitions("sig")
-        .transform(map_arrow, _stars, "x long, rep long, n long")
+        .transform(map_arrow, _sign(frequent, width, bits, buckets, hot), _PACKED)
+        .repartitionById(n, deal)
+        .sortWithinPartitions("bucket")
+        .transform(map_arrow, _stars(bits, buckets), "x long, rep long, n long")
         .groupBy("x", "rep")
         .agg(F.sum("n").alias("n")),
         "links",
     )
-    _release(spark)
     sets = materialize(rows.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "sets")
     side = lambda id_, n, sketch: sets.select(F.col("set_id").alias(id_), F.col("n").alias(n), F.col("sketch").alias(sketch))
     tested = links.join(side("x", "nx", "sx"), "x").join(side("rep", "nr", "sr"), "rep").transform(map_arrow, _sketch_links, "x long, rep long, open boolean")
@@ -513,12 +661,17 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         bad, good = bad.unionAll(checked.where(~F.col("ok")).select("x", "rep")), ok(checked)
         labels = components(good)
     failed = materialize(apart(bad), "failed")
-    rest = materialize(apart(_open_rest(links, failed, sets, labels).distinct()), "rest")
-    if not rest.isEmpty():
-        _release(spark)
-        more = ok(materialize(_verify(rest, _texts(keyed, rows, rest), width), "checked"))
+    met, asked, most = _met(links, failed, sets), None, 1
+    while True:
+        rest = materialize(_open_rest(met, labels, asked, most), "rest")
+        if rest.isEmpty():
+            break
+        pairs = rest.select("x", "rep").distinct()
+        more = ok(materialize(_verify(pairs, _texts(keyed, rows, pairs), width), "checked"))
         if not more.isEmpty():
-            labels = components(more if good is None else good.unionAll(more))
+            good = more if good is None else good.unionAll(more)
+            labels = components(good)
+        asked, most = rest.groupBy("met", "j", "x").agg(F.max("rep").alias("upto")), 16 * most
     return rows.drop("sketch"), labels
 
 
@@ -534,8 +687,9 @@ def keep_one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs without all but one row of each component: the one of the smallest doc_id, equal rows once."""
     found = jaccard_components(docs, width)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("key").agg(F.count("*").alias("copies"))
-    out = docs.withColumn("_key", _key()).join(kept.withColumnRenamed("key", "_key"), "_key")
+    key, copies = free_name(docs, "_key"), free_name(docs, "_copies")
+    out = docs.withColumn(key, _key()).join(kept.withColumnsRenamed({"key": key, "copies": copies}), key)
     # Rows that are repeated in doc_id and text are told apart by nothing; they alone are shuffled to keep one.
-    single = out.where("copies = 1").drop("_key", "copies")
-    twice = out.where("copies > 1").dropDuplicates(["_key"]).drop("_key", "copies")
+    single = out.where(F.col(copies) == 1).select(*docs.columns)
+    twice = out.where(F.col(copies) > 1).dropDuplicates([key]).select(*docs.columns)
     return single.unionByName(twice)
