@@ -62,8 +62,9 @@ def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's columns, from windows of 400 bytes, and n_passage_words, from windows of 50 words."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=repeats.PASSAGE_WORDS)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of an integer array in order.
 
     Doubling as Larsson and Sadakane do it: groups of suffixes that are equal so far are refined by the rank of what
-    follows, and groups of one are left alone. With depth, groups equal in that many symbols stay as they are, ordered by place.
+    follows, and groups of one are left alone.
     """
     n = len(text)
     if n < 2:
@@ -34,7 +34,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     heads = np.flatnonzero(new)
     rank[sa] = np.repeat(heads, np.diff(np.append(heads, n)))
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
-    while len(open_) and (depth is None or h < depth):
+    while len(open_):
         at = sa[open_]
         group = rank[at]
         after = at + h

@@ -67,8 +67,34 @@ ALNUM_SEPARATORS = bytes(b for b in range(128) if b <= 0x2F or 0x3A <= b <= 0x60
 SPACE_SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 
 
+#: Bytes whose words are hashed at once; a longer text is cut at separators.
+_AT_ONCE = 8 << 20
+
+
 def words(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool = True):
     """Hash, first byte, end byte and row of each word; words never cross rows."""
+    if len(raw) > _AT_ONCE:
+        return _in_pieces(raw, offsets, separators, lower)
+    return _words(raw, offsets, separators, lower)
+
+
+def _in_pieces(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool):
+    """The words of a long stretch, in pieces that end where a word does, so that no more than a piece is worked on at once."""
+    inside, _ = _tables(separators, lower)
+    out, at, n = [], 0, len(raw)
+    while at < n:
+        end = min(n, at + _AT_ONCE)
+        while end < n and inside[raw[end - 1]]:  # on to the next separator
+            step = np.flatnonzero(~inside[raw[end : end + _AT_ONCE]])
+            end = end + int(step[0]) + 1 if len(step) else min(n, end + _AT_ONCE)
+        rows = np.clip(offsets, at, end) - at
+        h, first, last, row = _words(raw[at:end], rows, separators, lower)
+        out.append((h, first + at, last + at, row))
+        at = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _words(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool):
     inside, value = _tables(separators, lower)
     n = len(raw)
     if not n:

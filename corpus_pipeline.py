@@ -20,11 +20,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go from the texts; documents of which nothing is left go."""
-    found = repeats.remove_repeats(docs)
-    # A cut inside a character leaves bytes that are none.
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    cut = found.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumn("text", text)
+    """Passages of 50 words or more that several documents hold go from the texts; documents of which no word is left go."""
+    found = repeats.remove_passages(docs)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
+    cut = found.withColumn("text", text).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     n_chars = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return cut.withColumn("n_chars", n_chars).select(*DOCUMENT_COLUMNS)
 

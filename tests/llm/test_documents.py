@@ -327,6 +327,38 @@ def test_signatures_meet_for_every_similar_pair():
             assert partenum.possible(len(a), sk[0], len(b), sk[1])
 
 
+def test_packed_signatures():
+    r = np.random.default_rng(2)
+    for bits, buckets, n in ((40, 3, 50), (63, 7, 200), (32, 1, 0), (40, 1, 3000), (20, 2**19, 40)):
+        sig, row, ids = r.integers(0, 1 << bits, n, dtype=np.uint64), np.sort(r.integers(0, 9, n)), r.integers(0, 1 << 63, 9, dtype=np.uint64)
+        out = [(k, *x) for k, data in partenum.packed(sig, ids, row, bits, buckets) for x in zip(*partenum.unpacked(data, bits, buckets), strict=True)]
+        assert sorted(out) == sorted((int(x) % buckets, int(x) // buckets, ids[k]) for x, k in zip(sig, row, strict=True))
+
+
+@pytest.mark.parametrize(("at_once", "hot", "block"), [(4_000_000, 1_000_000, 400), (50, 2, 3)])
+def test_partenum_in_small_steps(spark, monkeypatch, at_once, hot, block):
+    """Groups whose members are alike only in chains, with signatures sorted in pieces, hot ones linked at once and small blocks."""
+    for name, value in (("_AT_ONCE", at_once), ("HOT_SETS", hot), ("_BLOCK", block), ("_MEMBERS", 2)):
+        monkeypatch.setattr(partenum, name, value)
+    r, docs = random.Random(9), []
+    for group in range(4):
+        words = prose(4000 + group, 90).split()
+        for _ in range(14):
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(words) - 8)
+                words[k : k + r.randint(1, 4)] = prose(r.randrange(10**6), r.randint(1, 4)).split()
+            docs.append((len(docs), " ".join(words)))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    label = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    got = {x.doc_id: (x.component_id, x.n_shingles) for x in partenum.jaccard_components(frame(spark, docs)).collect()}
+    assert got == {i: (label[i], len(sets[i])) for i in range(len(docs))} and 4 < len(set(label)) < 50
+
+
 def test_components(spark):
     edges = [(9, 4), (4, 2), (7, 8), (8, 7), (5, 5), (2, 1), (30, 31), (31, 32), (32, 33), (33, 34), (34, 35)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -347,15 +379,23 @@ def without_repeats(texts, length):
         yield bytes(x for x, g in zip(b, gone, strict=True) if not g)
 
 
-@pytest.mark.parametrize("spans", [8000, 3])
-def test_repeats_match_brute_force(spark, monkeypatch, spans):
+@pytest.mark.parametrize(("spans", "hot", "piece"), [(8000, 20_000, 1 << 19), (3, 20_000, 1 << 19), (8000, 1, 1 << 19), (3, 1, 1 << 19), (8000, 20_000, 700)])
+def test_repeats_match_brute_force(spark, monkeypatch, spans, hot, piece):
     monkeypatch.setattr(repeats, "SHARD_SPANS", spans)  # 3: one key goes to several shards
+    monkeypatch.setattr(repeats, "HOT_SPANS", hot)  # 1: every key of the sample is dealt to several tasks
+    monkeypatch.setattr(repeats, "_SAMPLED", 2 if hot == 1 else 64)
+    if piece == 700:  # texts in several slices
+        monkeypatch.setattr(repeats, "BYTES", repeats.Unit(False, 32, piece, False))
     passage, part = prose(50, 120), prose(51, 60)
     texts = [t for _, t in odd_rows()] + [f"{prose(60 + i, 40)} {passage} {prose(90 + i, 30)}" for i in range(9)]
     texts += [f"{prose(600 + i, 30)} {part[:350]} {prose(700 + i, 30)}" for i in range(6)]  # shorter than a window
     texts += [passage + passage, "é" * 500, "x" * 1000, part[:420], "y" + part[:399] + "z", prose(99, 300)]
     docs = list(enumerate(texts))
-    out = {r.doc_id: r for r in repeats.remove_repeats(frame(spark, docs).withColumn("kept", F.lit(0))).collect()}
+    given = frame(spark, docs).withColumns({"kept": F.lit(0), "doc": F.lit("d"), "Runs": F.lit(7)})
+    found = repeats.remove_repeats(given, unit=repeats.BYTES)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "doc", "Runs", "kept", "n_bytes", "n_removed", "spans"]
+    out = {r.doc_id: r for r in found.collect()}
+    assert {(r.doc, r.Runs) for r in out.values()} == {("d", 7)}
     for (i, t), kept in zip(docs, without_repeats(texts, 400), strict=True):
         assert bytes(out[i].kept) == kept, i
         assert out[i].n_bytes == len((t or "").encode()) and out[i].n_removed == out[i].n_bytes - len(kept)
@@ -370,10 +410,51 @@ def test_windows_of_spans_that_agree_beyond_the_length():
         others = [bytes(r.choice(b"ab") for _ in range(r.randint(400, 522))) for _ in range(4)]
         pieces = [*others[:2], shared + b"z" + tails[0], others[2], shared + b"a" + tails[1], others[3]]
         counts = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
-        got = repeats.repeated_windows(pieces)
+        got = repeats.repeated_windows([np.frombuffer(p, np.uint8) for p in pieces])
         assert [g.tolist() for g in got] == [[counts[p[i : i + 400]] > 1 for i in range(len(p) - 399)] for p in pieces]
 
 
+def words_in_passages(docs, length):
+    """For each row, the words in windows of `length` words that another document (doc_id and text) holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
+    holders = {}
+    for d, w in zip(docs, split, strict=True):
+        for k in range(len(w) - length + 1):
+            holders.setdefault(tuple(w[k : k + length]), set()).add(d)
+    return [{p for k in range(len(w) - length + 1) if len(holders[tuple(w[k : k + length])]) > 1 for p in range(k, k + length)} for w in split]
+
+
+@pytest.mark.parametrize(("spans", "hot"), [(8000, 20_000), (3, 20_000), (8000, 1), (3, 1)])
+def test_passages_that_documents_share(spark, monkeypatch, spans, hot):
+    monkeypatch.setattr(repeats, "SHARD_SPANS", spans)
+    monkeypatch.setattr(repeats, "HOT_SPANS", hot)
+    monkeypatch.setattr(repeats, "_SAMPLED", 2 if hot == 1 else 64)
+    short, one, other = prose(20, 49), prose(21, 53), prose(22, 90)
+    docs = [*odd_rows(), (9, f"{one} {prose(23, 20)} {one}"), (10, other + " x " + other)]  # what only one document holds stays
+    docs += [(100 + i, f"{prose(200 + i, 30)} {short} {prose(300 + i, 30)}") for i in range(5)]
+    docs += [(200 + i, f"{prose(400 + i, 20 + i)}\n{' '.join(prose(24, 120).split()[i : 60 + i])} {prose(500 + i, 9)}") for i in range(9)]
+    docs += [(300, "é " * 60), (301, "é " * 55 + "x"), (302, prose(25, 51)), (302, prose(25, 51)), (303, prose(26, 400)), (304, " ".join(prose(26, 400).split()[100:151]) + "\u2003.")]
+    expected = words_in_passages(docs, 50)
+    out = repeats.remove_repeats(frame(spark, docs), passage_words=50).collect()
+    assert Counter((r.doc_id, r.text, r.n_passage_words) for r in out) == Counter((*d, len(x)) for d, x in zip(docs, expected, strict=True))
+    cut = repeats.remove_passages(frame(spark, docs)).collect()
+    left = lambda t, gone: [w for p, w in enumerate(re.findall(r"[^\x20\x09-\x0D]+", t or "")) if p not in gone]
+    assert Counter((r.doc_id, " ".join(re.findall(r"[^\x20\x09-\x0D]+", bytes(r.kept).decode()))) for r in cut) == Counter((d, " ".join(left(t, x))) for (d, t), x in zip(docs, expected, strict=True))
+    assert len(expected[docs.index((302, prose(25, 51)))]) == 0 and len(expected[-1]) == 50
+    assert repeats.remove_passages(frame(spark, [])).count() == 0
+
+
+def test_words_of_long_texts_come_in_pieces(monkeypatch):
+    from chronoloom.llm import words as W
+
+    texts = ["", prose(1, 300), "x" * 500, " ", prose(2, 40) + " ", "y", prose(3, 90)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = W.words(raw, offsets, W.SPACE_SEPARATORS)
+    monkeypatch.setattr(W, "_AT_ONCE", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, W.words(raw, offsets, W.SPACE_SEPARATORS), strict=True))
+
+
 def test_repeats_of_odd_tables(spark):
     out = repeats.remove_repeats(frame(spark, [*odd_rows(), (9, prose(5, 200)), (9, prose(5, 200))])).collect()
     assert [r.n_removed for r in out if r.doc_id == 9] == [len(prose(5, 200))] * 2
