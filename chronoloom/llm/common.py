@@ -30,11 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back, which cuts its lineage."""
+    """Writes df to the shared folder as Parquet and reads it back, which cuts its lineage. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chronoloom-{uuid.uuid4().hex}/{name}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -52,7 +54,9 @@ def release_memory() -> None:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow in batches of bounded size, with its memory released at the end of each task."""
+    """df.mapInArrow in batches of bounded size, with its memory released at the end of each task.
+
+    The bound is a setting of the session that is read when a plan runs, so it stays set for the session."""
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(key, None) != str(BATCH_BYTES):

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, row_slices, text_buffer
+from .common import free_name, map_arrow, row_slices, text_buffer
 from .suffix import suffix_array
 from .words import ALNUM_SEPARATORS, words
 
 WIDTH = 10
 #: Bytes of test texts that one pass over the documents takes along; more are searched in further passes.
-PASS_BYTES = 32 << 20
+PASS_BYTES = 8 << 20
 _SHARD = 2 << 20
 _SAMPLE = 16
 
@@ -247,15 +247,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     names = docs.columns
     blocks = _passes(benchmark, width)
     empty = Phrases(np.zeros(1, np.uint64), {1 << 40: (np.zeros((0, 1), np.int64), np.zeros(0, np.int64))}, (np.zeros(1, np.int64), np.zeros(0, np.int64)), [])
-    out = docs
+    out, old_hits, old_items = docs, free_name(docs, "_hits"), free_name(docs, "_items")
     for k, p in enumerate(blocks or [empty]):
         sent = spark.sparkContext.broadcast(p)
         if k:  # what earlier passes found rides along in its own columns
-            out = out.withColumnsRenamed({"hits": "_hits", "items": "_items"}).drop("n_words")
+            out = out.withColumnsRenamed({"hits": old_hits, "items": old_items}).drop("n_words")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
         out = out.transform(map_arrow, _search(sent), f"{schema}, {_FOUND}")
         if k:
-            out = out.withColumns({"hits": F.expr(_MERGE), "items": F.array_sort(F.array_union("_items", "items"))}).drop("_hits", "_items")
+            out = out.withColumns({"hits": F.expr(_MERGE.replace("_hits", f"`{old_hits}`")), "items": F.array_sort(F.array_union(old_items, "items"))}).drop(old_hits, old_items)
     return out.select(*names, "n_words", "hits", F.array_sort("items").alias("items"))
 
 

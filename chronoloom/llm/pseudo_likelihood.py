@@ -8,6 +8,9 @@ Training goes over every document once: in a first round on one document of eigh
 partition trains its own copy by gradient descent from the round's common start, and the copies are averaged by the words they saw.
 A document's score is the sum of its words' conditional log-probabilities.
 
+The weights depend on how the scan is cut into partitions, since each trains a copy: other files, or another size of partitions, give
+other scores of the same corpus. With the same partitions they are the same.
+
 Defined results: null and empty texts have 0 tokens, log_likelihood 0 and mean_log_likelihood null. Repeated rows are scored
 alike. An empty table gives an empty result. Further columns pass through; those of the three names are replaced.
 """

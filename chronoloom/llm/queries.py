@@ -106,20 +106,24 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 _OP4 = """
 WITH n AS (SELECT coalesce(source, '') AS source_key, count(*) AS n FROM documents GROUP BY 1),
 r AS (
-  SELECT source_key, least(64.0, CASE source_key WHEN 'src0' THEN 0.25 WHEN 'src1' THEN 0.1
-    ELSE 0.65 / (SELECT count(*) FROM n WHERE source_key NOT IN ('src0', 'src1')) END * (SELECT sum(n) FROM n) / n) AS rate FROM n),
+  SELECT *, greatest(1, CAST(ceil(rate / 64.0) AS BIGINT)) AS parts FROM (
+    SELECT source_key, CASE source_key WHEN 'src0' THEN 0.25 WHEN 'src1' THEN 0.1
+      ELSE 0.65 / (SELECT count(*) FROM n WHERE source_key NOT IN ('src0', 'src1')) END * (SELECT sum(n) FROM n) / n AS rate FROM n)),
 t AS (
-  SELECT source_key, k, sum(p) OVER (PARTITION BY source_key ORDER BY k) AS cdf
-  FROM (SELECT source_key, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 201)) AS k) WHERE rate > 0)),
+  SELECT source_key, any_value(parts) AS parts, list(cdf ORDER BY k) AS cdfs FROM (
+    SELECT source_key, parts, k, sum(p) OVER (PARTITION BY source_key ORDER BY k) AS cdf
+    FROM (SELECT source_key, parts, k, exp(k * ln(rate / parts) - rate / parts - lgamma(k + 1)) AS p FROM r, (SELECT unnest(range(0, 201)) AS k) WHERE rate > 0))
+  GROUP BY source_key),
 u AS (
-  SELECT *, ('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT / 281474976710656.0 AS u
-  FROM documents),
+  SELECT d.*, parts, cdfs, '17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS seed
+  FROM documents d JOIN t ON t.source_key = coalesce(d.source, '')),
+draws AS (SELECT *, unnest(range(1, parts + 1)) AS part FROM u),
 c AS (
-  SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.u, (SELECT count(*) FROM t WHERE t.source_key = coalesce(u.source, '') AND t.cdf <= u.u) AS n_copies
-  FROM u)
-SELECT doc_id, text, lang, source, n_chars, n_copies, copy,
-  md5('order17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|' || copy) AS mix_key
-FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM c WHERE n_copies > 0)
+  SELECT doc_id, text, lang, source, n_chars, seed, CAST(sum(len(list_filter(cdfs, lambda x: x <= draw))) AS BIGINT) // count(DISTINCT r) AS n_copies, count(DISTINCT r) AS times
+  FROM (SELECT *, ('0x' || substr(md5(seed || CASE part WHEN 1 THEN '' ELSE '|' || part END), 1, 12))::BIGINT / 281474976710656.0 AS draw FROM (SELECT *, row_number() OVER (PARTITION BY seed, lang, source, n_chars, part) AS r FROM draws))
+  GROUP BY ALL)
+SELECT doc_id, text, lang, source, n_chars, n_copies, copy, md5('order' || seed || '|' || copy) AS mix_key
+FROM (SELECT *, unnest(range(1, n_copies + 1)) AS copy FROM c WHERE n_copies > 0), (SELECT unnest(range(1, 1001)) AS i) WHERE i <= times
 """
 
 _OP10 = r"""

@@ -2,8 +2,8 @@
 
 A message's lines are parsed into nested quote levels by their leading `>` marks. Each maximal run of quoted lines of one
 level is a passage; it is normalised (A-Z lower-cased, white space squeezed) and hashed, whole and line by line. A passage
-links to the message of the same conversation that wrote it: the latest earlier turn whose own text has that passage as
-a paragraph or has its first line as a line of its own. A message's parent is the origin of its last quoted
+links to the message of the same conversation that wrote it: the latest earlier turn whose own text is that passage or has it as
+a paragraph, or the one turn that is the latest to have each of its lines. A message's parent is the origin of its last quoted
 passage of level 1, or else the turn before it. Conversations come out in reply order: a turn, then what quotes it (by turn), each
 with all of its own replies, then what follows it without a quote.
 
@@ -41,7 +41,7 @@ def normalise(text: Column) -> Column:
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, own (text without quotes), depth (deepest level), passages (level, first, hash, text)."""
+    """conv_id, turn, role, text, own (text without quotes), depth (deepest level), passages (pos, level, hash of the whole, hashes of lines)."""
     lines = F.transform(
         F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.struct(quote_level(x).alias("level"), unquoted(x).alias("line"))
     )
@@ -74,7 +74,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             F.transform(
                 quoted,
                 lambda r, i: F.struct(
-                    i.alias("pos"), r["level"].alias("level"), F.xxhash64(normalise(r["text"])).alias("whole"), F.xxhash64(normalise(F.element_at(F.filter(F.split(r["text"], "\n"), lambda y: normalise(y) != ""), 1))).alias("head")
+                    i.alias("pos"), r["level"].alias("level"), F.xxhash64(normalise(r["text"])).alias("whole"), F.array_distinct(F.transform(F.filter(F.split(r["text"], "\n"), lambda y: normalise(y) != ""), lambda y: F.xxhash64(normalise(y)))).alias("lines")
                 ),
             ).alias("passages"),
         )
@@ -138,7 +138,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
     quoting = parsed.where(F.size("passages") > 0)
     wanted = quoting.select("_conv", "_id", F.col("turn").alias("at"), F.explode("passages").alias("p"))
-    wanted = wanted.select("_conv", "_id", "at", "p.pos", "p.level", F.explode(F.array_distinct(F.array("p.whole", "p.head"))).alias("hash"))
+    parts = F.concat(F.array(F.struct(F.lit(True).alias("all"), F.col("p.whole").alias("hash"))), F.transform("p.lines", lambda x: F.struct(F.lit(False).alias("all"), x.alias("hash"))))
+    wanted = wanted.select("_conv", "_id", "at", "p.pos", "p.level", F.explode(parts).alias("part")).select("_conv", "_id", "at", "pos", "level", "part.all", "part.hash")
     # What is quoted at all is asked for first, so that only such pieces of own text are kept; one row per distinct hash.
     origins = (
         parsed.where(F.col("own") != "")
@@ -149,13 +150,16 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
     # The latest earlier origin by a running maximum over one sorted pass, not by pairs of quotes and origins.
     before = W.partitionBy("_conv", "hash").orderBy("at").rangeBetween(W.unboundedPreceding, -1)
+    # All lines of a passage must have the same latest origin.
+    line = F.when(~F.col("all"), F.coalesce("origin", F.lit(-1 << 62)))
+    by_lines = F.when(F.min(line) == F.max(line), F.max(F.when(~F.col("all"), F.col("origin"))))
     found = (
         wanted.withColumn("at", F.col("at").cast("long"))
         .unionByName(origins, allowMissingColumns=True)
         .withColumn("origin", F.max("origin").over(before))
         .where(F.col("_id").isNotNull())
         .groupBy("_conv", "_id", "pos", "level")
-        .agg(F.max("origin").alias("origin"))
+        .agg(F.greatest(F.max(F.when(F.col("all"), F.col("origin"))), by_lines).alias("origin"))
         .groupBy("_conv", "_id")
         .agg(
             F.count("origin").alias("n_linked"),

@@ -17,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -77,9 +78,40 @@ def tokenise(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTERN, end
     return docs.select("doc_id", "text").transform(map_arrow, run, _BLOCK)
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks of the flat files at path, through Spark's file systems (files of up to 2 GB)."""
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, partition_blocks: int = 32) -> DataFrame:
+    """Blocks of the flat files at path, of any size: each task reads its ranges of bytes.
 
+    Files in a store that only Spark's readers know are read whole, a file in a task, and must be below 2 GB."""
+    listed = spark.read.format("binaryFile").load(path)
+    first = listed.select("path").head()
+    if first is None or not _seekable(first[0]):
+        return _whole_files(listed, block_tokens)
+    many = F.ceil(F.col("length") / (2 * block_tokens))
+    blocks = listed.select("path", "length").where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"))
+    n = max(1, -(-int(blocks.count()) // partition_blocks))
+
+    def run(batches):
+        for batch in batches:
+            for name, length, k in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "block")), strict=True):
+                if length % 2:
+                    raise ValueError(f"{name}: {length} bytes are no 16-bit tokens")
+                store, where = pafs.FileSystem.from_uri(name)
+                with store.open_input_file(where) as f:
+                    part = f.read_at(min(2 * block_tokens, length - 2 * block_tokens * k), 2 * block_tokens * k)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([part], pa.binary()), pa.array([None], pa.list_(pa.string()))], names=["shard", "block", "tokens", "names"])
+
+    return blocks.repartition(n, "path", "block").transform(map_arrow, run, _BLOCK)
+
+
+def _seekable(name: str) -> bool:
+    try:
+        pafs.FileSystem.from_uri(name)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _whole_files(listed: DataFrame, block_tokens: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
@@ -91,7 +123,7 @@ def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_T
                         names=["shard", "block", "tokens", "names"],
                     )
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").transform(map_arrow, run, _BLOCK)
+    return listed.select("path", "content").transform(map_arrow, run, _BLOCK)
 
 
 def _separators(end: int):

@@ -58,7 +58,7 @@ def listed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 def url_tokens(pages: DataFrame) -> DataFrame:
     """Adds tokens: a set of strings for each url."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain="), F.array_join(F.slice(labels, i, 100), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain="), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     parts = F.filter(F.split(F.translate("path", _CAPITALS, _SMALL), r"[/._-]+"), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
     query = F.regexp_extract_all("url", F.lit(r"[?&]([^=&#]+)="), 1)
     tokens = F.concat(

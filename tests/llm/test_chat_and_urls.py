@@ -39,6 +39,19 @@ def test_quotes_link_to_the_latest_earlier_origin(spark):
     assert quotes.link_quotes(table.limit(0)).count() == 0
 
 
+def test_passages_of_several_lines_need_all_of_them(spark):
+    rows = [
+        (1, 0, "a", "Hi\nfirst thing\nsecond thing\nthird"),
+        (1, 1, "b", "Hi\nsomething else"),
+        (1, 2, "c", "> Hi\n> never written\nno origin"),
+        (1, 3, "d", "> Hi\n> second thing\npart of it, but Hi came later elsewhere"),
+        (1, 4, "e", "> first thing\n> second thing\nboth lines"),
+        (1, 5, "f", "> Hi\none line"),
+    ]
+    out = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: out[t].quoted_turn for t in range(6)} == {0: None, 1: None, 2: None, 3: None, 4: 0, 5: 1}
+
+
 def test_replies_follow_what_they_answer_at_any_depth(spark):
     def brute(parents):
         """Preorder: what quotes a turn first, then the turn after it."""
@@ -148,3 +161,35 @@ def test_pipeline_stages(spark, tmp_path):
             assert docs.columns == columns
     assert 0 < sizes[3] <= sizes[2] <= sizes[1] <= sizes[0]
     assert corpus_pipeline.run(spark, DATA).count() == sizes[4]
+
+
+def test_pipeline_stages_match_plain_python(spark):
+    """Each stage but the first, which is a model, on a small table: what stays, and the texts that are left."""
+    import corpus_pipeline as cp
+
+    from test_documents import SCHEMA, prose, shingle_set, words_in_passages
+
+    shared, leak = prose(70, 60), prose(71, 30)
+    texts = [prose(k, 80) for k in range(12)]
+    texts += [texts[0], texts[1] + " end", texts[2].upper(), f"{prose(80, 40)} {shared} {prose(81, 20)}", f"{prose(82, 9)} {shared}", shared + " x", f"{prose(83, 30)} {leak[: len(leak) // 2]} {prose(84, 30)}", None, "", "word"]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    stages = dict(cp.STAGES)
+
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    near = stages["n-gram Jaccard join"](spark, docs, DATA)
+    assert near.columns == docs.columns and sorted(r.doc_id for r in near.collect()) == sorted(set(label)) and len(set(label)) == len(texts) - 4
+
+    pairs = [(i, t) for i, t, *_ in rows]
+    cut = {r.doc_id: r for r in stages["suffix-array dedup"](spark, docs, DATA).collect()}
+    for (i, t), gone in zip(pairs, words_in_passages(pairs, 50), strict=True):
+        left = [w for p, w in enumerate((t or "").split()) if p not in gone]
+        if gone:
+            assert (i in cut) == bool(left) and (not left or cut[i].text.split() == left and cut[i].n_chars == len(cut[i].text))
+        else:
+            assert cut[i].text == t

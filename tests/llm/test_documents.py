@@ -135,6 +135,36 @@ def test_toxicity_learns_and_keeps_its_fold(spark):
     assert sum(x.predicted == int(x.doc_id % 3 == 0) for x in held) >= 0.95 * len(held)
 
 
+def test_kneser_ney_estimates_match_plain_python(spark):
+    r, rare = random.Random(12), 0.75
+    texts = [(" ".join(r.choice("abcdefg" if k % 2 else "abcxyz") for _ in range(r.randint(1, 30))), k % 2) for k in range(30)] + [("A, b!", 0), ("", 1), (None, 0)]
+    seen = {0: set(), 1: set()}
+    for t, c in texts:
+        w = ["<", "<", *re.findall(r"[0-9a-z]+", (t or "").lower())]
+        seen[c] |= {tuple(w[k - 2 : k + 1]) for k in range(2, len(w))}
+    n = {c: Counter(x[1:] for x in seen[c]) for c in (0, 1)}  # by different words before
+    ends = {c: Counter(w for _, w in n[c]) for c in (0, 1)}
+    both = Counter(w for _, w in set(n[0]) | set(n[1]))
+
+    def p(c, v, w):
+        low = (both[w] + 1) / (sum(both.values()) + len(both) + 1)
+        total = sum(ends[c].values())
+        low = max(ends[c][w] - rare, 0) / total + sum(min(x, rare) for x in ends[c].values()) / total * low
+        of_v = {k: x for k, x in n[c].items() if k[0] == v}
+        mass = sum(of_v.values())
+        return low if not mass else max(n[c][v, w] - rare, 0) / mass + sum(min(x, rare) for x in of_v.values()) / mass * low
+
+    found = spark.createDataFrame(texts, "text string, toxic int").transform(toxicity.map_arrow, toxicity._trigrams, "u long, v long, w long, toxic int")
+    counts = found.groupBy("u", "v", "w", "toxic").count().groupBy("v", "w").agg(F.count_if(F.col("toxic") == 0).alias("n0"), F.count_if(F.col("toxic") == 1).alias("n1"))
+    model = toxicity._estimate(counts, rare)
+    for text in ("a b c x y z", "g g q a q", "new", "x a g b"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, _, _, row = toxicity.words(raw, np.array([0, len(raw)]), toxicity.ALNUM_SEPARATORS)
+        w = ["<", *text.split()]
+        expected = [np.log(p(1, w[k - 1], w[k]) / p(0, w[k - 1], w[k])) for k in range(1, len(w))]
+        assert np.allclose(model.ratio(h, row), expected, atol=1e-5), text
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [x.score for x in toxicity.score_toxicity(frame(spark, [(1, "a b"), (2, None)]), none).collect()] == [0.0, 0.0]
@@ -172,6 +202,16 @@ def test_mixing_edge_cases(spark):
     assert mixing.poisson_mix(docs, size=0.0).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ("thresholds", "rate", "source_key", "parts", "_rate", "_SOURCE", "_text", "_u")
+    docs = frame(spark, [(i, f"t {i}") for i in range(30)])
+    plain = mixing.poisson_mix(docs, size=3.0)
+    out = mixing.poisson_mix(docs.withColumns({n: F.lit(n) for n in names}), size=3.0)
+    assert out.columns == [*docs.columns, *names, "n_copies", "copy", "mix_key"]
+    rows = out.collect()
+    assert all(r[n] == n for r in rows for n in names) and sorted(r.mix_key for r in rows) == sorted(r.mix_key for r in plain.collect())
+
+
 def test_mixing_reaches_rates_above_one_draw(spark):
     docs = spark.createDataFrame([(i, f"text {i}", "en", "small" if i < 10 else "big", 6) for i in range(8000)], SCHEMA)
     rates = {r.source_key: r.rate for r in mixing.source_rates(docs, {"small": 0.5, "big": 0.5}).collect()}
@@ -250,7 +290,9 @@ def test_token_files_without_index(spark, tmp_path):
     shards = {"a.bin": [1, 2, end, end, 3, 4, 5, end], "b.bin": [end, 9, 9, 9], "c.bin": [7] * 11}
     for name, ids in shards.items():
         np.array(ids, np.uint16).tofile(tmp_path / name)
-    blocks = token_files.read_token_files(spark, f"file://{tmp_path}/*.bin", block_tokens=3)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = token_files.read_token_files(spark, f"file://{tmp_path}/*.bin", block_tokens=3, partition_blocks=2)
+    assert sorted(map(tuple, blocks.select("shard", "block", "tokens").collect())) == sorted(map(tuple, token_files._whole_files(spark.read.format("binaryFile").load(f"file://{tmp_path}/*.bin"), 3).select("shard", "block", "tokens").collect()))
     got = sorted((r.shard[-5:], r.ordinal, r.n_tokens) for r in token_files.count_tokens(blocks).collect())
     assert got == [("a.bin", 0, 2), ("a.bin", 1, 0), ("a.bin", 2, 3), ("b.bin", 0, 0), ("b.bin", 1, 3), ("c.bin", 0, 11)]
 
