@@ -51,7 +51,7 @@ _SLICE = 1 << 20
 #: Shingles left out of signatures at first: at most this many, found in a sample of about this many distinct texts.
 FREQUENT_SHINGLES = 200_000
 SAMPLE_TEXTS = 4000
-_BLOCK = 400  # sets of a block in the last check
+_BLOCK = 4000  # sets of a block in the last check; of each only a sketch is sent
 #: Signatures that a bucket holds on average, and how many are sorted at once.
 BUCKET_SIGNATURES, _AT_ONCE = 4_000_000, 4_000_000
 #: A signature that so many sets of the sample share is not sent to a bucket.
@@ -587,7 +587,7 @@ def _verify(links: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def _met(links: DataFrame, failed: DataFrame, sets: DataFrame) -> DataFrame:
     """All sets that met a rep which some failed against: rep, x, n_failed, n_met, failed, n and sketch."""
     reps = failed.groupBy("rep").agg(F.count("*").cast("int").alias("n_failed"))
-    met = _counted(links.select("rep", "x").join(reps, "rep"), "rep", "n_met")
+    met = _counted(links.select("rep", "x").join(reps, "rep"), "rep", "n_met", _BLOCK)  # fewer are one block
     met = met.join(failed.select("rep", "x", F.lit(True).alias("failed")), ["rep", "x"], "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
     return materialize(met.join(sets.withColumnRenamed("set_id", "x"), "x"), "met")
 
@@ -605,10 +605,15 @@ def _open_rest(met: DataFrame, labels: DataFrame, asked: DataFrame | None, most:
     block = lambda k: F.pmod(F.xxhash64("x"), k).cast("int")
     what = [F.col("x").alias("id"), "label", "n", "sketch", "failed"]
     nobody = F.lit(None).cast("long").alias("upto")
-    one = met.where("failed").withColumns({"i": block(i_blocks), "j": spread(j_blocks)})
+
+    def each(rows: DataFrame, count: Column, name: str) -> DataFrame:
+        """A copy of the rows for each block of the other side; most have one."""
+        return rows.where(count == 1).withColumn(name, F.lit(0)).unionAll(rows.where(count > 1).withColumn(name, spread(count)))
+
+    one = each(met.where("failed").withColumn("i", block(i_blocks)), j_blocks, "j")
     one = one.withColumn("upto", nobody) if asked is None else one.join(asked.withColumnRenamed("met", "rep"), ["rep", "j", "x"])
     one = one.select("rep", "i", "j", F.lit(0).alias("role"), *what, "upto")
-    other = met.select("rep", spread(i_blocks).alias("i"), block(j_blocks).alias("j"), F.lit(1).alias("role"), *what, nobody)
+    other = each(met.withColumn("j", block(j_blocks)), i_blocks, "i").select("rep", "i", "j", F.lit(1).alias("role"), *what, nobody)
     return one.unionAll(other).repartition(n, "rep", "i", "j").sortWithinPartitions("rep", "i", "j").transform(map_arrow, _check_blocks(most), "met long, j int, x long, rep long")
 
 
@@ -661,7 +666,7 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         bad, good = bad.unionAll(checked.where(~F.col("ok")).select("x", "rep")), ok(checked)
         labels = components(good)
     failed = materialize(apart(bad), "failed")
-    met, asked, most = _met(links, failed, sets), None, 1
+    met, asked, most = _met(links, failed, sets), None, 16
     while True:
         rest = materialize(_open_rest(met, labels, asked, most), "rest")
         if rest.isEmpty():
@@ -671,7 +676,7 @@ def set_components(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, Data
         if not more.isEmpty():
             good = more if good is None else good.unionAll(more)
             labels = components(good)
-        asked, most = rest.groupBy("met", "j", "x").agg(F.max("rep").alias("upto")), 16 * most
+        asked, most = rest.groupBy("met", "j", "x").agg(F.max("rep").alias("upto")), 256 * most
     return rows.drop("sketch"), labels
 
 
