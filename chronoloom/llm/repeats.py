@@ -334,19 +334,15 @@ def _met(spans: DataFrame, unit: Unit) -> DataFrame:
     )
 
 
-#: Different spans of hot keys up to which what is known of them goes to every task.
-BROADCAST_HOT = 200_000
-
-
 def _hot_met(hot: DataFrame, unit: Unit) -> DataFrame:
-    """The same columns for spans of hot keys, whatever task they lie in: digests are counted in parts first."""
+    """The same columns for spans of hot keys, whatever task they lie in: digests are counted in parts first.
+
+    hot: of what a task found alike one span each, and all other spans; the rest are known to be repeats."""
     place = F.struct("doc", "first")
     repeated = F.min("doc") != F.max("doc") if unit.across else F.count("*") > 1
-    digests = materialize(hot.groupBy("key", "digest").agg(F.min(place).alias("_lead"), repeated.alias("alike")), "hot")
+    digests = materialize(hot.groupBy("key", "digest").agg(F.min(place).alias("_lead"), (F.bool_or("alike") | repeated).alias("alike")), "hot")
     kinds = digests.groupBy("key").agg(F.count("*").alias("kinds"))
     known = digests.join(kinds, "key")
-    if known.limit(BROADCAST_HOT + 1).count() <= BROADCAST_HOT:
-        known = F.broadcast(known)
     return hot.drop("lead", "alike", "kinds").join(known, ["key", "digest"]).withColumn("lead", F.col("_lead") == place).select("key", "salt", "digest", "doc", "first", "last", "lead", "alike", "kinds")
 
 
@@ -357,9 +353,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, unit: Unit = BYTES) ->
     hot = _hot_keys(keyed, length, unit)
     spans = keyed.transform(map_arrow, _emit_spans(length, unit, hot), _SPANS).repartition(n, "key", "salt")
     spans = materialize(_met(spans, unit), "spans")
-    if len(hot):
-        spans = spans.where("salt < 0").unionByName(_hot_met(spans.where("salt >= 0"), unit))
     whole = spans.where("alike").select("doc", "first", "last")
+    if len(hot):
+        told = F.col("alike") & ~F.col("lead")
+        spans = spans.where("salt < 0").unionByName(_hot_met(spans.where((F.col("salt") >= 0) & ~told), unit))
+        whole = whole.unionAll(spans.where("salt >= 0 and alike").select("doc", "first", "last"))
     # Across documents, equal spans of one document are each held against the others.
     shards = F.ceil(F.col("kinds") / F.lit(SHARD_SPANS)).cast("int")
     wanted = spans.where((F.col("kinds") > 1) & (F.col("lead") | ~F.col("alike"))).withColumn(
