@@ -112,7 +112,7 @@ def _key(p):
     return p["key"].cast("bigint").alias("p_partkey")
 
 
-@query("optional_field", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 OR p_size BETWEEN 20 AND 30 THEN p_size * 3 - 60 END AS v, CASE WHEN p_size % 2 = 0 THEN -p_partkey END AS by_flag FROM part")
+@query("optional_field", "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 OR p_size BETWEEN 20 AND 30 THEN CAST(p_size * 3 - 60 AS BIGINT) END AS v, CASE WHEN p_size % 2 = 0 THEN -p_partkey END AS by_flag FROM part")
 def optional_field(spark, sf_dir):
     events, p = items(spark, sf_dir)
     return events.select(_key(p), p["maybe"].alias("v"), p["by_flag"].alias("by_flag"))
@@ -167,7 +167,7 @@ def field_location(spark, sf_dir):
     return events.select(_key(p), F.array_join(F.transform(p["outer"], lambda x: F.decode(x["b"], "UTF-8")), "|").alias("in_arrays"), p["up"]["deep"]["t"].alias("above"))
 
 
-@query("decoded_integers", "SELECT p_partkey, p_size - 25 AS below, p_partkey AS turned, p_size % 32 AS bits, p_partkey % 256 AS marks, p_size % 2 = 0 AS even FROM part")
+@query("decoded_integers", "SELECT p_partkey, CAST(p_size - 25 AS BIGINT) AS below, p_partkey AS turned, CAST(p_size % 32 AS BIGINT) AS bits, p_partkey % 256 AS marks, p_size % 2 = 0 AS even FROM part")
 def decoded_integers(spark, sf_dir):
     events, p = items(spark, sf_dir)
     return events.select(_key(p), *(p[k].alias(k) for k in ("below", "turned", "bits", "marks", "even")))
