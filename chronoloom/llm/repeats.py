@@ -160,26 +160,29 @@ def _emit_spans(length: int, unit: Unit, hot: np.ndarray):
 
 def _cut_bytes(length: int, unit: Unit):
     """For mapInArrow over documents with their wanted spans: the bytes of each span (of words: their hashes)."""
+    kind, width = ("<u8", 8) if unit.of_words else (np.uint8, 1)
 
     def run(batches):
         for batch in batches:
             raw, offsets = text_buffer(batch.column("text"))
-            width = 8 if unit.of_words else 1
-            if unit.of_words:
-                values, offsets, _, _ = unit.symbols(raw, offsets)
-                data = memoryview(values.astype("<u8")).cast("B")
-            else:
-                data = raw.tobytes()
+            docs = batch.column("doc").to_numpy(zero_copy_only=False)
             spans = batch.column("spans")
             counts = np.diff(spans.offsets.to_numpy()).astype(np.int64)
+            ends = np.concatenate(([0], np.cumsum(counts)))
             flat = spans.flatten()
-            keys, first, last, alone, shard = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "first", "last", "alone", "shard"))
-            base = np.repeat(offsets[:-1], counts)
-            doc = np.repeat(batch.column("doc").to_numpy(zero_copy_only=False), counts)
-            for i in range(0, len(keys), 4096):
-                s = slice(i, i + 4096)
-                pieces = [bytes(data[x:y]) for x, y in zip((width * (base[s] + first[s])).tolist(), (width * (base[s] + last[s] + length)).tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"key": keys[s], "shard": shard[s], "doc": doc[s], "first": first[s], "alone": alone[s], "bytes": pa.array(pieces, pa.binary())})
+            for a, b in row_slices(offsets, unit.slice):
+                values, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                if unit.of_words:
+                    values, at, _, _ = unit.symbols(values, at)
+                data = values.astype(kind, copy=False).tobytes()
+                rows = np.repeat(np.arange(a, b), counts[a:b])
+                for i in range(int(ends[a]), int(ends[b]), 4096):
+                    s = slice(i, min(i + 4096, int(ends[b])))
+                    keys, first, last, alone, shard = (flat.field(x)[s].to_numpy(zero_copy_only=False) for x in ("key", "first", "last", "alone", "shard"))
+                    row = rows[s.start - ends[a] : s.stop - ends[a]]
+                    base = at[row - a]
+                    pieces = [data[x:y] for x, y in zip((width * (base + first)).tolist(), (width * (base + last + length)).tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"key": keys, "shard": shard, "doc": docs[row], "first": first, "alone": alone, "bytes": pa.array(pieces, pa.binary())})
 
     return run
 
