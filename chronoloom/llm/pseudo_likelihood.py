@@ -91,19 +91,26 @@ def _by_id(ids: np.ndarray) -> np.ndarray:
     return np.argsort(ids.astype(np.int16), kind="stable")  # small integers sort by radix
 
 
-def _forward(p: list[np.ndarray], around: np.ndarray, y: np.ndarray):
+def _in_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b by products of 64 rows each: a row's result in 32 bits else depends on how many rows are with it."""
+    blocks = np.zeros((-(-len(a) // 64) * 64, a.shape[1]), a.dtype)
+    blocks[: len(a)] = a
+    return np.matmul(blocks.reshape(-1, 64, a.shape[1]), b).reshape(-1, b.shape[1])[: len(a)]
+
+
+def _forward(p: list[np.ndarray], around: np.ndarray, y: np.ndarray, product=np.matmul):
     """Inputs, hidden values, class and word logits, and where classes begin; words must be in order of id."""
     e, w1, b1, wc, bc, ww, bw = p
     x = e[around].reshape(len(y), -1)
-    h = np.tanh(x @ w1 + b1)
+    h = np.tanh(product(x, w1) + b1)
     bounds = np.searchsorted(y, np.arange(CLASSES + 1) * PER_CLASS)
     z = np.empty((len(y), PER_CLASS), np.float32)
     for g in range(CLASSES):
         a, b = bounds[g], bounds[g + 1]
         if a < b:
-            np.matmul(h[a:b], ww[g], out=z[a:b])
+            z[a:b] = product(h[a:b], ww[g])
             z[a:b] += bw[g]
-    return x, h, h @ wc + bc, z, bounds
+    return x, h, product(h, wc) + bc, z, bounds
 
 
 def log_probabilities(flat: np.ndarray, ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -114,7 +121,7 @@ def log_probabilities(flat: np.ndarray, ids: np.ndarray, row: np.ndarray) -> np.
         y = ids[i : i + _BATCH]
         order = _by_id(y)
         y = y[order]
-        _, _, c, z, _ = _forward(p, around[i : i + _BATCH][order], y)
+        _, _, c, z, _ = _forward(p, around[i : i + _BATCH][order], y, _in_blocks)
         n = np.arange(len(y))
         _, cs = _softmax(c)
         _, zs = _softmax(z)
